@@ -1,0 +1,27 @@
+"""Finding keys that hold so many rows that grouping them into one task would stall the job."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key that a task may sort or join without trouble.
+HOT_ROWS = 1_000_000
+# Longest list of hot keys brought to the driver; any key beyond it takes the ordinary, equally exact way.
+MOST_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> list[tuple]:
+    """Keys with more than `limit` rows, largest first. One pass over the key columns, combined before the shuffle."""
+    counted = df.groupBy(*keys).count().where(F.col("count") > limit)
+    top = counted.orderBy(F.desc("count")).limit(MOST_HOT_KEYS).collect()
+    return [tuple(row[k] for k in keys) for row in top]
+
+
+def flag_hot(df: DataFrame, keys: Sequence[str], hot: list[tuple], flag: str) -> DataFrame:
+    """Add a boolean column telling hot keys apart; the broadcast list has at most MOST_HOT_KEYS rows."""
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    marked = df.sparkSession.createDataFrame(hot, schema).withColumn(flag, F.lit(True))
+    return df.join(F.broadcast(marked), list(keys), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
