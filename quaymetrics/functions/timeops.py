@@ -1,4 +1,4 @@
-"""Time arithmetic on zone-less timestamps. Exact: microseconds as long, minutes through decimals.
+"""Time arithmetic on zone-less timestamps, exact in whole microseconds.
 
 Periods end one millisecond before the next one starts and both bounds are inclusive, so the last
 999 microseconds of an hour or a day belong to no bucket.
@@ -78,23 +78,40 @@ def elapsed(start: Column, end: Column) -> Column:
     return micros(end) - micros(start)
 
 
-def _units(us: Column, unit: int) -> Column:
-    return us.cast("decimal(24,0)") / F.lit(unit)
+def span(start: Column, end: Column) -> Column:
+    """Absolute microseconds between two instants."""
+    return F.abs(elapsed(start, end))
 
 
-def ceil_minutes(us: Column) -> Column:
-    return F.ceil(_units(us, MINUTE)).cast("bigint")
+def _divide(x: Column, unit: int) -> Column:
+    """Whole-number division towards zero; stays in longs."""
+    return F.call_function("div", x, F.lit(unit).cast("bigint"))
 
 
-def round_minutes(us: Column) -> Column:
-    """Nearest minute, halves away from zero."""
-    return F.round(_units(us, MINUTE)).cast("bigint")
+def floor_to(us: Column, unit: int) -> Column:
+    """The multiple of unit at or below us."""
+    return us - F.pmod(us, F.lit(unit).cast("bigint"))
+
+
+def ceil_to(us: Column, unit: int) -> Column:
+    """The multiple of unit at or above us."""
+    return us + F.pmod(-us, F.lit(unit).cast("bigint"))
+
+
+def hour_number(t: Column) -> Column:
+    """Clock hours since 1970: a cheap join key for the hour of t."""
+    return _divide(floor_to(micros(t), HOUR), HOUR)
+
+
+def ceil_minutes(us: Column) -> Column:
+    return _divide(ceil_to(us, MINUTE), MINUTE)
 
 
 def ceil_hours(us: Column) -> Column:
-    return F.ceil(_units(us, HOUR)).cast("bigint")
+    return _divide(ceil_to(us, HOUR), HOUR)
 
 
-def span(start: Column, end: Column) -> Column:
-    """Absolute microseconds between two instants."""
-    return F.abs(elapsed(start, end))
+def round_minutes(us: Column) -> Column:
+    """Nearest minute, halves away from zero."""
+    half = MINUTE // 2
+    return F.when(us >= 0, _divide(us + half, MINUTE)).otherwise(-_divide(half - us, MINUTE))

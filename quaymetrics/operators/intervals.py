@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import hour_floor, micros
+from ..functions.timeops import ceil_to, floor_to, hour_number, micros
 from .hot import HOT_ROWS, flag_hot, hot_keys
 from .spine import UNIT
 
@@ -24,29 +24,41 @@ _AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
 def hours_touched(start: Column, end: Column) -> Column:
-    """Explode: the clock hours from that of start to that of end; none for a reversed interval."""
-    low, high = hour_floor(start), hour_floor(end)
-    return F.explode(F.when(low <= high, F.sequence(low, high, F.expr("interval 1 hour"))))
+    """The clock hours (as numbers) from that of start to that of end; NULL for a reversed interval."""
+    low, high = hour_number(start), hour_number(end)
+    return F.when(low <= high, F.sequence(low, high))
 
 
-def contains_interval(outer: DataFrame, inner: DataFrame, how: str = "left") -> DataFrame:
-    """Pairs of an outer interval (on_time, off_time) and an inner one (in_time, out_time) lying wholly inside.
+def _hour_pieces(intervals: DataFrame) -> DataFrame:
+    """One row per hour an interval touches; a reversed interval keeps one row without an hour, which joins nothing."""
+    return intervals.withColumn("_hour", F.explode_outer(hours_touched(F.col("on_time"), F.col("off_time"))))
 
-    Both carry tml_id, eq_type, eq_no, day. With `how="left"` outer rows without a match are kept.
+
+def _join_in_hour(pieces: DataFrame, others: DataFrame, inside: Column) -> DataFrame:
+    """Pieces with the rows of the same unit, day and hour that satisfy `inside`; pieces without any stay."""
+    p, o = pieces.alias("p"), others.alias("o")
+    same = [F.col(f"p.{c}") == F.col(f"o.{c}") for c in (*UNIT_DAY, "_hour")]
+    extra = [c for c in others.columns if c not in (*UNIT_DAY, "_hour")]
+    return p.join(o, [*same, inside], "left").select("p.*", *extra).drop("_hour")
+
+
+def pieces_with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Outer intervals (on_time, off_time) with the inner ones (in_time, out_time) lying wholly inside.
+
+    Both carry tml_id, eq_type, eq_no, day. Each match comes once. Besides, an outer interval has a row without a
+    match for each of its hours in which none begins: meant to be aggregated per outer interval.
     """
-    outer_columns = outer.columns
-    pieces = outer.withColumn("_hour", hours_touched(F.col("on_time"), F.col("off_time")))
-    keyed = inner.withColumn("_hour", hour_floor(F.col("in_time")))
-    extra = [c for c in inner.columns if c not in UNIT_DAY]
-    pairs = (
-        pieces.join(keyed, [*UNIT_DAY, "_hour"])
-        .where((F.col("on_time") <= F.col("in_time")) & (F.col("off_time") >= F.col("out_time")))
-        .select(*outer_columns, *extra)
-    )
-    if how == "inner":
-        return pairs
+    keyed = inner.withColumn("_hour", hour_number(F.col("in_time")))
+    inside = (F.col("on_time") <= F.col("in_time")) & (F.col("off_time") >= F.col("out_time"))
+    return _join_in_hour(_hour_pieces(outer), keyed, inside)
+
+
+def contains_interval(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Left join of outer intervals with the inner ones lying wholly inside, one row per match."""
     frame = [*UNIT_DAY, "on_time", "off_time"]
-    return outer.join(pairs.select(*frame, *extra), frame, "left")
+    pairs = pieces_with_contained(outer, inner).where(F.col("in_time").isNotNull())
+    alone = outer.join(pairs.select(*frame).distinct(), frame, "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def aggregate_inside(
@@ -67,43 +79,33 @@ def aggregate_inside(
     """
     frame = [*UNIT_DAY, "on_time", "off_time"]
     functions = {column: fn for fn, column in aggregates.values()}
-    values = list(functions)
-    if len(values) < len(aggregates):
+    if len(functions) < len(aggregates):
         raise ValueError("each point column can be aggregated once")
     intervals = intervals.select(*frame, *keep)
     hot = hot_keys(points if sizes is None else sizes, UNIT, hot_limit)
-    points = points.select(*UNIT_DAY, F.col(at).alias("_at"), *[F.col(c).alias(f"_{c}") for c in values])
+    points = points.select(*UNIT_DAY, F.col(at).alias("_at"), *[F.col(c).alias(f"_{c}") for c in functions])
+    values = [f"_{c}" for c in functions]
     if not hot:
-        found = _by_hour(intervals, points, frame, values)
+        found = _by_hour(intervals, points, values)
     else:
         rows, marked = flag_hot(intervals, UNIT, hot, "_hot"), flag_hot(points, UNIT, hot, "_hot")
-        found = _by_hour(rows.where(~F.col("_hot")), marked.where(~F.col("_hot")), frame, values).unionByName(
-            _by_blocks(rows.where("_hot"), marked.where("_hot"), frame, values, functions)
-        )
-    nothing = [F.lit(None).cast(points.schema[f"_{c}"].dataType).alias(f"_{c}") for c in values]
+        cold = _by_hour(rows.where(~F.col("_hot")).drop("_hot"), marked.where(~F.col("_hot")), values)
+        # every interval once without points, so that those that hold none stay
+        every = rows.where("_hot").drop("_hot")
+        filled = _by_blocks(every, marked.where("_hot"), frame, {f"_{c}": fn for c, fn in functions.items()})
+        found = cold.unionByName(every, allowMissingColumns=True).unionByName(filled, allowMissingColumns=True)
     carried = [F.max(c).alias(c) for c in keep]
     results = [_AGGREGATES[fn](f"_{column}").alias(name) for name, (fn, column) in aggregates.items()]
-    every = intervals.select(*frame, *keep, *nothing).unionByName(found, allowMissingColumns=True)
-    return every.groupBy(*frame).agg(*carried, *results)
+    return found.groupBy(*frame).agg(*carried, *results)
 
 
 def _inside(at: str = "_at") -> Column:
     return F.col(at).between(F.col("on_time"), F.col("off_time"))
 
 
-def _by_hour(intervals: DataFrame, points: DataFrame, frame: Sequence[str], values: Sequence[str]) -> DataFrame:
-    pieces = intervals.select(*frame, hours_touched(F.col("on_time"), F.col("off_time")).alias("_hour"))
-    keyed = points.withColumn("_hour", hour_floor(F.col("_at")))
-    joined = pieces.join(keyed, [*UNIT_DAY, "_hour"]).where(_inside())
-    return joined.select(*frame, *[f"_{c}" for c in values])
-
-
-def _floor(t: Column, size: int) -> Column:
-    return t - F.pmod(t, F.lit(size))
-
-
-def _ceil(t: Column, size: int) -> Column:
-    return t + F.pmod(-t, F.lit(size))
+def _by_hour(intervals: DataFrame, points: DataFrame, values: Sequence[str]) -> DataFrame:
+    keyed = points.select(*UNIT_DAY, "_at", *values, hour_number(F.col("_at")).alias("_hour"))
+    return _join_in_hour(_hour_pieces(intervals), keyed, _inside()).drop("_at")
 
 
 def _block(size: int, start: Column) -> Column:
@@ -120,17 +122,17 @@ def _cover(start: Column, stop: Column) -> Column:
 
     parts = []
     for size, bigger in zip(BLOCKS, BLOCKS[1:]):
-        low, high = _ceil(start, size), _floor(stop, size)
-        big_low, big_high = _ceil(start, bigger), _floor(stop, bigger)
+        low, high = ceil_to(start, size), floor_to(stop, size)
+        big_low, big_high = ceil_to(start, bigger), floor_to(stop, bigger)
         has_bigger = big_low < big_high
         parts.append(run(size, low, F.when(has_bigger, big_low).otherwise(high)))
         parts.append(run(size, F.when(has_bigger, big_high).otherwise(high), high))
-    parts.append(run(BLOCKS[-1], _ceil(start, BLOCKS[-1]), _floor(stop, BLOCKS[-1])))
+    parts.append(run(BLOCKS[-1], ceil_to(start, BLOCKS[-1]), floor_to(stop, BLOCKS[-1])))
     return F.concat(*parts)
 
 
 def _by_blocks(
-    intervals: DataFrame, points: DataFrame, frame: Sequence[str], values: Sequence[str], functions: dict[str, str]
+    intervals: DataFrame, points: DataFrame, frame: Sequence[str], functions: dict[str, str]
 ) -> DataFrame:
     """Points are pre-aggregated into blocks of growing size; an interval looks up the blocks that fill it.
 
@@ -144,15 +146,15 @@ def _by_blocks(
     def spread(df: DataFrame, blocks: Column) -> DataFrame:
         return df.withColumn("_b", F.explode(blocks)).withColumns({"_size": F.col("_b.size"), "_start": F.col("_b.start")})
 
-    sums = [_AGGREGATES[functions[c]](f"_{c}").alias(f"_{c}") for c in values]
-    blocks = spread(points, F.array(*[_block(size, _floor(t, size)) for size in BLOCKS])).groupBy(*block).agg(*sums)
+    sums = [_AGGREGATES[fn](c).alias(c) for c, fn in functions.items()]
+    blocks = spread(points, F.array(*[_block(size, floor_to(t, size)) for size in BLOCKS])).groupBy(*block).agg(*sums)
     filled = spread(intervals.select(*frame), _cover(start, stop)).join(blocks, block)
 
-    edge_start = F.when(F.pmod(start, F.lit(second)) != 0, _floor(start, second))
-    edge_stop = F.when(F.pmod(stop, F.lit(second)) != 0, _floor(stop, second))
+    edge_start = F.when(F.pmod(start, F.lit(second)) != 0, floor_to(start, second))
+    edge_stop = F.when(F.pmod(stop, F.lit(second)) != 0, floor_to(stop, second))
     edges = F.explode(F.array_distinct(F.array_compact(F.array(edge_start, edge_stop))))
     near = intervals.select(*frame, edges.alias("_start")).join(
-        points.withColumn("_start", _floor(t, second)), [*UNIT_DAY, "_start"]
+        points.withColumn("_start", floor_to(t, second)), [*UNIT_DAY, "_start"]
     )
-    columns = [*frame, *[f"_{c}" for c in values]]
+    columns = [*frame, *functions]
     return filled.select(*columns).unionByName(near.where(_inside()).select(*columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import is_waiting
 from ..functions.timeops import DayLike, TimeLike, ceil_minutes, day_range, elapsed, round_minutes
-from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval
+from ..operators.intervals import UNIT_DAY, aggregate_inside, pieces_with_contained
 from ..operators.sessions import STRICT, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, key_spine
 from ..operators.steps import explode_steps
@@ -16,29 +16,30 @@ from ..sources.tables import Scope, Tables, scoped
 from .utilization import KEY_DAY, ignitions, jobs_of_days, logins
 
 
+def _micros() -> Column:
+    """Step length in whole microseconds: exact for the six decimals it has, and cheap to sum."""
+    return (F.col("interval_sec") * 1_000_000).cast("bigint")
+
+
 def _part(condition: Column) -> Column:
-    return F.when(condition, F.col("interval_sec")).otherwise(F.lit(0).cast("decimal(20,6)"))
+    return F.when(condition, F.col("step_us")).otherwise(F.lit(0).cast("bigint"))
 
 
 def _jobs_with_steps(tables: Tables, scope: Scope, first, last) -> DataFrame:
     return jobs_of_days(tables, scope, first, last, F.col("bi_jh_job_cycle_step").isNotNull())
 
 
-def _step_seconds(jobs: DataFrame, split_by_job: bool) -> DataFrame:
+def _step_times(jobs: DataFrame, split_by_job: bool) -> DataFrame:
     """Cycle steps of jobs. Split by job, time without a job is kept apart; otherwise all of it counts."""
     columns = [*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", "job_cycle_step"]
-    steps = explode_steps(jobs.select(*columns), "job_cycle_step")
+    steps = explode_steps(jobs.select(*columns), "job_cycle_step").withColumn("step_us", _micros())
     if split_by_job:
         with_job = F.col("job_id").isNotNull()
-        seconds = [_part(with_job), _part(with_job & is_waiting()), _part(~with_job)]
+        parts = [_part(with_job), _part(with_job & is_waiting()), _part(~with_job)]
     else:
-        seconds = [F.col("interval_sec"), _part(is_waiting()), F.lit(None).cast("decimal(20,6)")]
-    names = ("sec", "wait_sec", "no_job_sec")
-    return steps.select(*UNIT_DAY, "job_fetching_time", "job_cmpl_time", *[s.alias(n) for s, n in zip(seconds, names)])
-
-
-def _ceil_from_seconds(seconds: Column) -> Column:
-    return F.ceil(seconds.cast("decimal(26,6)") / F.lit(60)).cast("bigint")
+        parts = [F.col("step_us"), _part(is_waiting()), F.lit(None).cast("bigint")]
+    names = ("job_us", "wait_us", "no_job_us")
+    return steps.select(*UNIT_DAY, "job_fetching_time", "job_cmpl_time", *[p.alias(n) for p, n in zip(parts, names)])
 
 
 def _minutes_by_key(tables: Tables, scope: Scope, first, last, as_of: TimeLike, split_by_job: bool) -> DataFrame:
@@ -47,35 +48,42 @@ def _minutes_by_key(tables: Tables, scope: Scope, first, last, as_of: TimeLike,
     jobs = _jobs_with_steps(tables, scope, first, last)
     worked = aggregate_inside(
         login,
-        _step_seconds(jobs, split_by_job),
+        _step_times(jobs, split_by_job),
         "job_cmpl_time",
         {
             "first_fetch": ("min", "job_fetching_time"),
-            "sec": ("sum", "sec"),
-            "wait_sec": ("sum", "wait_sec"),
-            "no_job_sec": ("sum", "no_job_sec"),
+            "job_us": ("sum", "job_us"),
+            "wait_us": ("sum", "wait_us"),
+            "no_job_us": ("sum", "no_job_us"),
         },
         keep=["n"],
         sizes=jobs,
     )
     renamed = {"on_time": "in_time", "off_time": "out_time", "n": "n_logins"}
-    pairs = contains_interval(ignition, worked.withColumnsRenamed(renamed))
+    pieces = pieces_with_contained(ignition, worked.withColumnsRenamed(renamed))
     # equal sessions and logins of a unit form one group, in which each copy adds its job seconds again
     copies = F.col("n") * F.col("n_logins")
     on, off, log_in, log_out = (F.col(c) for c in ("on_time", "off_time", "in_time", "out_time"))
     zero = F.lit(0).cast("bigint")
-    minutes = {
-        "job": _ceil_from_seconds(F.col("sec") * copies),
-        "wait": _ceil_from_seconds(F.col("wait_sec") * copies),
-        "no_job": _ceil_from_seconds(F.col("no_job_sec") * copies),
-        "util": ceil_minutes(elapsed(on, off)),
+    per_login = {
+        "job": ceil_minutes(F.col("job_us") * copies),
+        "wait": ceil_minutes(F.col("wait_us") * copies),
+        "no_job": ceil_minutes(F.col("no_job_us") * copies),
         "log_in_idle": F.greatest(ceil_minutes(elapsed(on, log_in)), zero),
         "log": ceil_minutes(elapsed(log_in, log_out)),
         "fetch_idle": F.greatest(ceil_minutes(elapsed(log_in, F.col("first_fetch"))), zero),
     }
-    sums = [F.sum(name).alias(name) for name in minutes]
+    sums = [F.sum(name).alias(name) for name in per_login]
+    # a session counts its own time once per login inside it, or once if there is none
+    per_session = (
+        pieces.withColumns(per_login)
+        .groupBy(*UNIT_DAY, "on_time", "off_time")
+        .agg(F.count("in_time").alias("logins"), *sums)
+        .withColumn("util", ceil_minutes(elapsed(on, off)) * F.greatest(F.col("logins"), F.lit(1)))
+    )
+    sums.append(F.sum("util").alias("util"))
     # first per unit: counting units then needs no DISTINCT
-    per_unit = pairs.select(*UNIT_DAY, *[m.alias(n) for n, m in minutes.items()]).groupBy(*UNIT_DAY).agg(*sums)
+    per_unit = per_session.groupBy(*UNIT_DAY).agg(*sums)
     return per_unit.groupBy(*KEY_DAY).agg((F.count("*") * 1440).alias("calendar"), *sums)
 
 
@@ -147,9 +155,8 @@ def oee_tree(
         .agg(round_minutes(F.sum("micros")).alias("ign"))
     )
     jobs = _jobs_with_steps(tables, scope, first, last)
-    minutes = lambda c: F.round(F.sum(c).cast("decimal(26,6)") / F.lit(60)).cast("bigint")
-    worked = _step_seconds(jobs, split_by_job=True).groupBy(*KEY_DAY).agg(
-        minutes("sec").alias("job"), minutes("wait_sec").alias("wait"), minutes("no_job_sec").alias("no_job")
+    worked = _step_times(jobs, split_by_job=True).groupBy(*KEY_DAY).agg(
+        *[round_minutes(F.sum(f"{name}_us")).alias(name) for name in ("job", "wait", "no_job")]
     )
     rows = day_spine(key_spine(tables, scope, jobs), first, last).join(calendar, KEYS, "left")
     m = _with_config(rows.join(ran, KEY_DAY, "left").join(worked, KEY_DAY, "left"), tables, scope)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import running_minutes, within
-from ..functions.timeops import DayLike, TimeLike, ceil_hours, ceil_minutes, day_end, day_range, day_start, elapsed, hour_floor, round_minutes, span
-from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval, hours_touched
+from ..functions.timeops import DayLike, TimeLike, ceil_hours, ceil_minutes, day_end, day_range, day_start, elapsed, hour_floor, hour_number, round_minutes, span
+from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval, hours_touched, pieces_with_contained
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, unit_hours
 from ..sources.tables import Scope, Tables, facts, scoped
@@ -115,9 +115,8 @@ def avail_hours(
 # Ignition and login time against work
 
 
-def _worked_sessions(tables: Tables, source, scope: Scope, first, last, as_of: TimeLike, clamp_fetch: bool = True) -> DataFrame:
+def _worked_sessions(tables: Tables, cut: DataFrame, scope: Scope, first, last, clamp_fetch: bool = True) -> DataFrame:
     """Distinct sessions of each day with the envelope of the jobs completed inside."""
-    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
     fetch = F.col("job_fetching_time")
     fetch = F.greatest(fetch, day_start(F.col("day"))) if clamp_fetch else fetch
     jobs = jobs_of_days(tables, scope, first, last).select(*UNIT_DAY, fetch.alias("fetch"), "job_cmpl_time")
@@ -127,7 +126,8 @@ def _worked_sessions(tables: Tables, source, scope: Scope, first, last, as_of: T
 
 def _session_summary(tables, source, day, as_of, tml_id, eq_type, name: str, clamp_fetch: bool) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
-    rows = _worked_sessions(tables, source, scope, first, last, as_of, clamp_fetch)
+    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    rows = _worked_sessions(tables, cut, scope, first, last, clamp_fetch)
     totals = rows.groupBy(*KEY_DAY).agg(
         F.sum(ceil_minutes(span(F.col("on_time"), F.col("off_time")))).alias(name),
         F.sum(ceil_minutes(span(F.col("work_start"), F.col("work_end")))).alias("job_performed_time_min"),
@@ -138,7 +138,8 @@ def _session_summary(tables, source, day, as_of, tml_id, eq_type, name: str, cla
 def _session_list(tables, source, day, as_of, tml_id, eq_type, labels: tuple[str, str, str], minutes) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     on, off, length = labels
-    return _worked_sessions(tables, source, scope, first, last, as_of).select(
+    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    return _worked_sessions(tables, cut, scope, first, last).select(
         *UNIT_DAY,
         F.col("on_time").alias(on),
         F.col("off_time").alias(off),
@@ -162,11 +163,12 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     A session whose last hour is the clock hour of an unaligned first row does not match that row.
     """
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
-    worked = _worked_sessions(tables, source, scope, first, last, as_of)
-    hours = _span_hours_of(worked).withColumn("_hour", hour_floor(F.col("start_time")))
+    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    worked = _worked_sessions(tables, cut, scope, first, last)
+    hours = _span_hours_of(cut).withColumn("_hour", hour_number(F.col("start_time")))
     running = worked.select(
         *UNIT_DAY, hour_floor(F.col("off_time")).alias("_last_hour"), "work_start", "work_end",
-        hours_touched(F.col("on_time"), F.col("off_time")).alias("_hour"),
+        F.explode(hours_touched(F.col("on_time"), F.col("off_time"))).alias("_hour"),
     )
     # hour and unit in the equality key; the residual goes into the join condition so that unmatched hours stay
     h, r = hours.alias("h"), running.alias("r")
@@ -242,14 +244,8 @@ def break_summary(
 ) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     cut = clamp_to_days(ignitions(tables, scope), first, last, as_of, LOOSE).select(*FRAME)
-    pairs = contains_interval(cut, _cut_breaks(tables, scope, first, last, as_of), "inner").select(*FRAME, "in_time", "out_time")
-    nothing = F.lit(None).cast("timestamp_ntz")
-    per_session = (
-        cut.select(*FRAME, nothing.alias("in_time"), nothing.alias("out_time"))
-        .unionByName(pairs)
-        .groupBy(*FRAME)
-        .agg(F.min("in_time").alias("first_break"), F.max("out_time").alias("last_break"))
-    )
+    pieces = pieces_with_contained(cut, _cut_breaks(tables, scope, first, last, as_of))
+    per_session = pieces.groupBy(*FRAME).agg(F.min("in_time").alias("first_break"), F.max("out_time").alias("last_break"))
     totals = per_session.groupBy(*KEY_DAY).agg(
         F.sum(round_minutes(span(F.col("on_time"), F.col("off_time")))).alias("ign_time_min"),
         F.sum(round_minutes(span(F.col("first_break"), F.col("last_break")))).alias("brk_end_time_min"),
@@ -288,9 +284,9 @@ def break_hours(
     """Hour rows of the ignition span with the breaks running in each clock hour, in whatever session they fall."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
     hours = _span_hours_of(clamp_to_days(ignitions(tables, scope), first, last, as_of, LOOSE))
-    hours = hours.withColumn("_hour", hour_floor(F.col("start_time")))
+    hours = hours.withColumn("_hour", hour_number(F.col("start_time")))
     found = _cut_breaks(tables, scope, first, last, as_of)
-    found = found.withColumn("_hour", hours_touched(F.col("in_time"), F.col("out_time")))
+    found = found.withColumn("_hour", F.explode(hours_touched(F.col("in_time"), F.col("out_time"))))
     rows = hours.join(found, [*UNIT_DAY, "_hour"], "left")
     copies = F.coalesce(F.col("n_breaks"), F.lit(1))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))

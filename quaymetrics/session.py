@@ -15,6 +15,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # hash instead of sort-merge joins where every build partition turns out this small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     }.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

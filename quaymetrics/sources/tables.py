@@ -54,10 +54,8 @@ def save(tables: Tables, root: str, mode: str = "errorifexists") -> None:
         tml = f"{PREFIX[field.name]}_tml_id"
         if field.name in LAYOUT_TIME:
             day = F.to_date(LAYOUT_TIME[field.name])
-            # by folder and a small row hash: few files per folder, and no single writer for a large day or unit
-            df = df.withColumn(LAYOUT_DAY, day).repartition(
-                F.col(tml), F.col(LAYOUT_DAY), F.pmod(F.xxhash64(*df.columns), F.lit(8))
-            )
+            # by folder; adaptive execution splits large folders over several writers and merges small ones
+            df = df.withColumn(LAYOUT_DAY, day).hint("rebalance", F.col(tml), F.col(LAYOUT_DAY))
             df.write.mode(mode).partitionBy(tml, LAYOUT_DAY).parquet(f"{root}/{field.name}")
         else:
             df.write.mode(mode).parquet(f"{root}/{field.name}")
