@@ -54,7 +54,8 @@ def day_end(day: Column) -> Column:
 
 
 def hour_floor(t: Column) -> Column:
-    return F.date_trunc("hour", t).cast("timestamp_ntz")
+    """Start of the clock hour of t. Plain arithmetic: date_trunc would go through a zoned timestamp and the calendar."""
+    return F.timestamp_micros(floor_to(micros(t), HOUR)).cast("timestamp_ntz")
 
 
 def hour_end(hour: Column) -> Column:

@@ -68,8 +68,8 @@ def in_bucket(t: Column, now: TimeLike, hours: int = 6) -> Column:
 
 
 def onto_hours(spine: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Spine with the hourly aggregates (keyed by tml_id, eq_type, hour_step); hours without facts stay NULL."""
-    return spine.join(hourly, [*KEYS, "hour_step"], "left")
+    """Spine with the hourly aggregates (keyed by tml_id, eq_type, s_time); hours without facts stay NULL."""
+    return spine.join(hourly, [*KEYS, "s_time"], "left")
 
 
 def day_column(first: date, last: date) -> Column:

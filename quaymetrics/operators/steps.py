@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import whole
-from ..sources.schema import LEG_JSON, STEP_JSON
+from ..sources.schema import LEG_JSON, STEP_FIELDS, step_json
 
 
-def explode_steps(df: DataFrame, column: str) -> DataFrame:
-    """One row per step of a cycle or event array: interval_sec, activity_type, step_dist, laden_status."""
+def explode_steps(df: DataFrame, column: str, *fields: str) -> DataFrame:
+    """One row per step of a cycle or event array, with the step columns named (all four by default).
+
+    They are interval_sec, activity_type, step_dist and laden_status.
+    """
+    fields = fields or tuple(STEP_FIELDS)
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.explode(F.from_json(F.col(column), STEP_JSON)).alias("step"))
-    return rows.select(
-        *others,
-        F.col("step.intervalSec").alias("interval_sec"),
-        F.col("step.activityType").alias("activity_type"),
-        F.col("step.trvDistance").alias("step_dist"),
-        F.col("step.ladenStatus").alias("laden_status"),
-    )
+    rows = df.select(*others, F.explode(F.from_json(F.col(column), step_json(*fields))).alias("step"))
+    return rows.select(*others, *[F.col(f"step.{STEP_FIELDS[f][0]}").alias(f) for f in fields])
 
 
 def explode_legs(df: DataFrame, column: str = "trv_with_eta") -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import is_waiting, is_working, whole
-from ..functions.timeops import TimeLike, hour_floor, hour_key
+from ..functions.timeops import TimeLike, hour_floor
 from ..operators.seq import numbered
 from ..operators.spine import KEYS, UNIT, bucket_end, hour_spine, in_bucket, key_spine, onto_hours, rolling_window
 from ..operators.steps import explode_legs, explode_steps
 from ..sources.tables import Scope, Tables, facts, scoped, trips
 
 HOUR_COLUMNS = [*KEYS, "s_time", "e_time", "hour_step"]
+TIME_FIELDS = ["interval_sec", "activity_type"]
+LADEN_FIELDS = ["step_dist", "laden_status"]
 LEG_VALUES = ["eta_distance", "ata_distance", "eta_time_sec", "ata_time_sec"]
 
 
@@ -26,8 +28,7 @@ def _zero_where_absent(*columns: str) -> list[Column]:
 
 
 def _hourly(df: DataFrame, t: Column, *aggregates: Column) -> DataFrame:
-    hour = hour_key(t).alias("hour_step")
-    return df.groupBy(*KEYS, hour).agg(*aggregates, F.count("*").alias("_rows"))
+    return df.groupBy(*KEYS, hour_floor(t).alias("s_time")).agg(*aggregates, F.count("*").alias("_rows"))
 
 
 def _sum_when(condition: Column, value: Column | str, name: str) -> Column:
@@ -134,7 +135,7 @@ def travel_with_job_rows(
     eq_type: str | None = None,
 ) -> DataFrame:
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "user_id", "eq_tran_id"]
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, F.sum(whole(F.col("step_dist"))).alias("dist"))
+    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], F.sum(whole(F.col("step_dist"))).alias("dist"))
     out = [*KEYS, "r_seq", "job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id", "eq_tran_id"]
     return numbered(rows, UNIT, [*group, "dist"], "r_seq", sizes=jobs).select(*out).orderBy(*UNIT, "r_seq")
 
@@ -145,11 +146,12 @@ def _job_rows(
     start: TimeLike,
     end: TimeLike,
     group: list[str],
+    fields: list[str],
     *aggregates: Column,
 ) -> tuple[DataFrame, DataFrame]:
     """Cycle steps of jobs completed in the range, summed per group, and the jobs they come from."""
     jobs = facts(tables, "bi_job_hist", scope, start, end, F.col("bi_jh_job_cycle_step").isNotNull())
-    steps = explode_steps(jobs.select(*KEYS, *group, "job_cycle_step"), "job_cycle_step")
+    steps = explode_steps(jobs.select(*KEYS, *group, "job_cycle_step"), "job_cycle_step", *fields)
     return steps.groupBy(*KEYS, *group).agg(*aggregates), jobs
 
 
@@ -163,7 +165,7 @@ def cycle_time_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours), F.col("bi_jh_job_id").isNotNull())
     done = F.col("job_cmpl_time")
-    steps = explode_steps(jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "job_cycle_step"), "job_cycle_step")
+    steps = explode_steps(jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "job_cycle_step"), "job_cycle_step", *TIME_FIELDS)
     seconds = whole(F.col("interval_sec"))
     hourly = _hourly(steps, done, _sum_when(is_working(), seconds, "working_time_sec"), _sum_when(is_waiting(), seconds, "waiting_time_sec"))
     spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
@@ -177,7 +179,7 @@ def cycle_time_by_job(
     group = [*KEYS, "job_id", "cntr_no", "job_cmpl_time"]
     seconds = whole(F.col("interval_sec"))
     return (
-        explode_steps(jobs.select(*group, "job_cycle_step"), "job_cycle_step")
+        explode_steps(jobs.select(*group, "job_cycle_step"), "job_cycle_step", *TIME_FIELDS)
         .groupBy(*group)
         .agg(
             _sum_when(is_working(), seconds, "working_time"),
@@ -208,7 +210,7 @@ def laden_hourly(
     scope = Scope(tml_id, eq_type)
     work = facts(tables, "bi_eq_tran", scope, *rolling_window(now, hours), F.col("bi_et_event_step").isNotNull())
     done = F.col("last_job_cmpl_time")
-    steps = explode_steps(work.where(in_bucket(done, now, hours)).select(*KEYS, "last_job_cmpl_time", "event_step"), "event_step")
+    steps = explode_steps(work.where(in_bucket(done, now, hours)).select(*KEYS, "last_job_cmpl_time", "event_step"), "event_step", *LADEN_FIELDS)
     spine = hour_spine(key_spine(tables, scope, work), now, hours)
     rows = onto_hours(spine, _hourly(steps, done, *_laden(F.col("step_dist"))))
     return rows.select(*HOUR_COLUMNS, *_zero_where_absent("laden_dist", "unladen_dist"))
@@ -220,7 +222,7 @@ def laden_by_unit(
     """From transactions; each distance is rounded to a whole number first."""
     work = facts(tables, "bi_eq_tran", Scope(tml_id, eq_type), start, end, F.col("bi_et_event_step").isNotNull())
     distance = whole(F.col("step_dist"))
-    steps = explode_steps(work.select(*UNIT, "event_step"), "event_step")
+    steps = explode_steps(work.select(*UNIT, "event_step"), "event_step", *LADEN_FIELDS)
     return steps.groupBy(*UNIT).agg(*_laden(distance), F.sum(distance).alias("total_dist"))
 
 
@@ -236,7 +238,7 @@ def laden_rows(
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "user_id"]
     distance = whole(F.col("step_dist"))
     rows, jobs = _job_rows(
-        tables, Scope(tml_id, eq_type, eq_no), start, end, group, *_laden(distance), F.sum(distance).alias("total_dist")
+        tables, Scope(tml_id, eq_type, eq_no), start, end, group, LADEN_FIELDS, *_laden(distance), F.sum(distance).alias("total_dist")
     )
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "laden_dist", "unladen_dist", "total_dist", "user_id"]
     return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
@@ -277,7 +279,7 @@ def fuel_rows(
 ) -> DataFrame:
     """Jobs that look alike in these columns merge, and their fuel is shown once."""
     group = ["eq_no", "cntr_no", "job_type", "fuel", "user_id"]
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, F.sum(whole(F.col("step_dist"))).alias("trv_dist"))
+    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], F.sum(whole(F.col("step_dist"))).alias("trv_dist"))
     out = ["eq_no", "cntr_no", "job_type", "trv_dist", "fuel", "user_id"]
     return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
 
@@ -323,6 +325,6 @@ def execution_rows(
 ) -> DataFrame:
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "user_id"]
     dist = F.sum(F.coalesce(whole(F.col("step_dist")), F.lit(0))).alias("dist")
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, dist)
+    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], dist)
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id"]
     return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)

@@ -32,7 +32,7 @@ def _jobs_with_steps(tables: Tables, scope: Scope, first, last) -> DataFrame:
 def _step_times(jobs: DataFrame, split_by_job: bool) -> DataFrame:
     """Cycle steps of jobs. Split by job, time without a job is kept apart; otherwise all of it counts."""
     columns = [*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", "job_cycle_step"]
-    steps = explode_steps(jobs.select(*columns), "job_cycle_step").withColumn("step_us", _micros())
+    steps = explode_steps(jobs.select(*columns), "job_cycle_step", "interval_sec", "activity_type").withColumn("step_us", _micros())
     if split_by_job:
         with_job = F.col("job_id").isNotNull()
         parts = [_part(with_job), _part(with_job & is_waiting()), _part(~with_job)]

@@ -53,7 +53,21 @@ LAYOUT_TIME = {
 }
 LAYOUT_DAY = "layout_day"
 
-STEP_JSON = "array<struct<intervalSec:decimal(20,6),activityType:string,trvDistance:decimal(20,6),ladenStatus:string>>"
+# JSON field and type behind each step column.
+STEP_FIELDS = {
+    "interval_sec": ("intervalSec", "decimal(20,6)"),
+    "activity_type": ("activityType", "string"),
+    "step_dist": ("trvDistance", "decimal(20,6)"),
+    "laden_status": ("ladenStatus", "string"),
+}
+
+
+def step_json(*columns: str) -> str:
+    """Array type with just the fields behind these step columns; the parser skips all others."""
+    fields = ",".join(f"{name}:{kind}" for name, kind in (STEP_FIELDS[c] for c in columns))
+    return f"array<struct<{fields}>>"
+
+
 LEG_JSON = (
     "array<struct<fromStep:string,toStep:string,etaDistance:decimal(20,6),ataDistance:decimal(20,6),"
     "etaTimeSec:decimal(20,6),ataTimeSec:decimal(20,6)>>"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeops import TimeLike, as_datetime, day_lit, ts
-from .schema import LAYOUT_DAY, LAYOUT_TIME, LEG_JSON, PREFIX, SCHEMAS, STEP_JSON
+from .schema import LAYOUT_DAY, LAYOUT_TIME, LEG_JSON, PREFIX, SCHEMAS, STEP_FIELDS, step_json
 
 
 @dataclass(frozen=True)
@@ -106,11 +106,12 @@ def load_checks(tables: Tables) -> DataFrame:
         bad = text.isNotNull() & (~F.ltrim(text).startswith("[") | F.from_json(text, schema).isNull())
         return df.agg(F.count_if(bad).alias("rows")).select(F.lit(check).alias("check"), "rows")
 
+    steps = step_json(*STEP_FIELDS)
     travel = tables.bi_eq_travel
     backwards = travel.agg(F.count_if(F.col("bi_ev_trv_etime") < F.col("bi_ev_trv_stime")).alias("rows"))
     return (
-        broken(tables.bi_job_hist, "bi_jh_job_cycle_step", STEP_JSON, "job_cycle_step is not a JSON array")
+        broken(tables.bi_job_hist, "bi_jh_job_cycle_step", steps, "job_cycle_step is not a JSON array")
         .unionByName(broken(tables.bi_job_hist, "bi_jh_trv_with_eta", LEG_JSON, "trv_with_eta is not a JSON array"))
-        .unionByName(broken(tables.bi_eq_tran, "bi_et_event_step", STEP_JSON, "event_step is not a JSON array"))
+        .unionByName(broken(tables.bi_eq_tran, "bi_et_event_step", steps, "event_step is not a JSON array"))
         .unionByName(backwards.select(F.lit("travel ends before it starts").alias("check"), "rows"))
     )
