@@ -108,17 +108,11 @@ def _by_hour(intervals: DataFrame, points: DataFrame, values: Sequence[str]) ->
     return _join_in_hour(_hour_pieces(intervals), keyed, _inside()).drop("_at")
 
 
-def _block(size: int, start: Column) -> Column:
-    return F.struct(F.lit(size).cast("bigint").alias("size"), start.alias("start"))
-
-
-def _cover(start: Column, stop: Column) -> Column:
-    """The fewest whole blocks that fill [start, stop), as an array of (size, start)."""
+def _runs(start: Column, stop: Column) -> Column:
+    """Array of (size, from, to): the fewest whole blocks that fill [start, stop), as runs of equal size. May be empty runs."""
 
     def run(size: int, low: Column, high: Column) -> Column:
-        step = F.lit(size).cast("bigint")
-        blocks = F.when(low < high, F.sequence(low, high - step, step)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(blocks, lambda b: _block(size, b))
+        return F.struct(F.lit(size).cast("bigint").alias("size"), low.alias("low"), high.alias("high"))
 
     parts = []
     for size, bigger in zip(BLOCKS, BLOCKS[1:]):
@@ -127,8 +121,7 @@ def _cover(start: Column, stop: Column) -> Column:
         has_bigger = big_low < big_high
         parts.append(run(size, low, F.when(has_bigger, big_low).otherwise(high)))
         parts.append(run(size, F.when(has_bigger, big_high).otherwise(high), high))
-    parts.append(run(BLOCKS[-1], ceil_to(start, BLOCKS[-1]), floor_to(stop, BLOCKS[-1])))
-    return F.concat(*parts)
+    return F.array(*parts, run(BLOCKS[-1], ceil_to(start, BLOCKS[-1]), floor_to(stop, BLOCKS[-1])))
 
 
 def _by_blocks(
@@ -143,12 +136,15 @@ def _by_blocks(
     start, stop = micros(F.col("on_time")), micros(F.col("off_time")) + 1
     block = [*UNIT_DAY, "_size", "_start"]
 
-    def spread(df: DataFrame, blocks: Column) -> DataFrame:
-        return df.withColumn("_b", F.explode(blocks)).withColumns({"_size": F.col("_b.size"), "_start": F.col("_b.start")})
-
     sums = [_AGGREGATES[fn](c).alias(c) for c, fn in functions.items()]
-    blocks = spread(points, F.array(*[_block(size, floor_to(t, size)) for size in BLOCKS])).groupBy(*block).agg(*sums)
-    filled = spread(intervals.select(*frame), _cover(start, stop)).join(blocks, block)
+    sizes = F.explode(F.array(*[F.lit(size).cast("bigint") for size in BLOCKS]))
+    sized = points.withColumn("_us", t).withColumn("_size", sizes)
+    blocks = sized.withColumn("_start", F.col("_us") - F.pmod("_us", "_size")).groupBy(*block).agg(*sums)
+
+    runs = intervals.select(*frame, F.explode(_runs(start, stop)).alias("_run")).where("_run.low < _run.high")
+    size, low, high = (F.col(f"_run.{c}") for c in ("size", "low", "high"))
+    cover = runs.select(*frame, size.alias("_size"), F.explode(F.sequence(low, high - size, size)).alias("_start"))
+    filled = cover.join(blocks, block)
 
     edge_start = F.when(F.pmod(start, F.lit(second)) != 0, floor_to(start, second))
     edge_stop = F.when(F.pmod(stop, F.lit(second)) != 0, floor_to(stop, second))
