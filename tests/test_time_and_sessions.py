@@ -24,7 +24,7 @@ def sessions(spark, *pairs):
     return spark.createDataFrame([("T1", "YT", "E1", on, off) for on, off in pairs], SESSION)
 
 
-def reference_strict(on, off, start, end):
+def five_branches(on, off, start, end):
     if off is None:
         return on < end
     return (
@@ -40,7 +40,7 @@ def test_strict_overlap_equals_the_five_branches_on_a_grid(spark):
     pairs = [(on, off) for on in marks for off in [*marks, None]]
     df = sessions(spark, *pairs).withColumn("hit", overlaps_day_strict(F.col("on_time"), F.col("off_time"), F.lit(START).cast("timestamp_ntz"), F.lit(END).cast("timestamp_ntz")))
     got = {(r.on_time, r.off_time): bool(r.hit) for r in df.collect()}
-    assert got == {(on, off): reference_strict(on, off, START, END) for on, off in pairs}
+    assert got == {(on, off): five_branches(on, off, START, END) for on, off in pairs}
 
 
 @pytest.mark.parametrize(
