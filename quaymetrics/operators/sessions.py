@@ -60,8 +60,8 @@ def clamp_to_days(df: DataFrame, first: date, last: date, as_of: TimeLike, rule:
     if first == last:
         day = day_lit(first)
         start, end = day_start(day), day_end(day)
-        cut = _cut(rule, df.where(_takes(rule, F.col("on_time"), F.col("off_time"), start, end, now)).withColumn("day", day), now)
-        return cut.groupBy(*group).agg(F.count("*").alias("n"))
+        taken = df.where(_takes(rule, F.col("on_time"), F.col("off_time"), start, end, now))
+        return _cut(rule, taken.withColumn("day", day), now).groupBy(*group).agg(F.count("*").alias("n"))
     near = _near_range(rule, df, first, last, now)
     pieces = _cut(rule, _edge_days(rule, near, first, last, now), now).withColumn("n", F.lit(1).cast("bigint"))
     return pieces.unionByName(_whole_days(rule, near, first, last, now)).groupBy(*group).agg(F.sum("n").alias("n"))
@@ -140,4 +140,5 @@ def _whole_days(rule: str, df: DataFrame, first: date, last: date, now: Column)
     days = runs.where(F.col("n") > 0).select(
         *UNIT, F.explode(F.sequence(F.col("day"), F.date_sub("next_day", 1))).alias("day"), "n"
     )
-    return days.select(*UNIT, "day", day_start(F.col("day")).alias("on_time"), day_end(F.col("day")).alias("off_time"), "n")
+    bounds = [day_start(F.col("day")).alias("on_time"), day_end(F.col("day")).alias("off_time")]
+    return days.select(*UNIT, "day", *bounds, "n")

@@ -112,7 +112,7 @@ def travel_with_job_hourly(
     by_completion = _hourly(work, F.col("last_job_cmpl_time"), F.sum("trv_dist").alias("trv_job_dist")).drop("_rows")
     spine = hour_spine(key_spine(tables, scope, travel, work), now, hours)
     rows = onto_hours(onto_hours(spine, by_end), by_completion)
-    return rows.select(*HOUR_COLUMNS, whole(F.col("trv_dist")).alias("trv_dist"), whole(F.col("trv_job_dist")).alias("trv_job_dist"))
+    return rows.select(*HOUR_COLUMNS, *[whole(F.col(c)).alias(c) for c in ("trv_dist", "trv_job_dist")])
 
 
 def travel_with_job_by_unit(
@@ -135,9 +135,11 @@ def travel_with_job_rows(
     eq_type: str | None = None,
 ) -> DataFrame:
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "user_id", "eq_tran_id"]
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], F.sum(whole(F.col("step_dist"))).alias("dist"))
-    out = [*KEYS, "r_seq", "job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id", "eq_tran_id"]
-    return numbered(rows, UNIT, [*group, "dist"], "r_seq", sizes=jobs).select(*out).orderBy(*UNIT, "r_seq")
+    scope, dist = Scope(tml_id, eq_type, eq_no), F.sum(whole(F.col("step_dist"))).alias("dist")
+    rows, jobs = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
+    out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id", "eq_tran_id"]
+    ordered = numbered(rows, UNIT, [*group, "dist"], "r_seq", sizes=jobs)
+    return ordered.select(*KEYS, "r_seq", *out).orderBy(*UNIT, "r_seq")
 
 
 def _job_rows(
@@ -165,9 +167,14 @@ def cycle_time_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours), F.col("bi_jh_job_id").isNotNull())
     done = F.col("job_cmpl_time")
-    steps = explode_steps(jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "job_cycle_step"), "job_cycle_step", *TIME_FIELDS)
+    shown = jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "job_cycle_step")
     seconds = whole(F.col("interval_sec"))
-    hourly = _hourly(steps, done, _sum_when(is_working(), seconds, "working_time_sec"), _sum_when(is_waiting(), seconds, "waiting_time_sec"))
+    hourly = _hourly(
+        explode_steps(shown, "job_cycle_step", *TIME_FIELDS),
+        done,
+        _sum_when(is_working(), seconds, "working_time_sec"),
+        _sum_when(is_waiting(), seconds, "waiting_time_sec"),
+    )
     spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
     return onto_hours(spine, hourly).select(*HOUR_COLUMNS, "working_time_sec", *_zero_where_absent("waiting_time_sec"))
 
@@ -210,7 +217,8 @@ def laden_hourly(
     scope = Scope(tml_id, eq_type)
     work = facts(tables, "bi_eq_tran", scope, *rolling_window(now, hours), F.col("bi_et_event_step").isNotNull())
     done = F.col("last_job_cmpl_time")
-    steps = explode_steps(work.where(in_bucket(done, now, hours)).select(*KEYS, "last_job_cmpl_time", "event_step"), "event_step", *LADEN_FIELDS)
+    shown = work.where(in_bucket(done, now, hours)).select(*KEYS, "last_job_cmpl_time", "event_step")
+    steps = explode_steps(shown, "event_step", *LADEN_FIELDS)
     spine = hour_spine(key_spine(tables, scope, work), now, hours)
     rows = onto_hours(spine, _hourly(steps, done, *_laden(F.col("step_dist"))))
     return rows.select(*HOUR_COLUMNS, *_zero_where_absent("laden_dist", "unladen_dist"))
@@ -237,9 +245,8 @@ def laden_rows(
     """From job history, not transactions."""
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "user_id"]
     distance = whole(F.col("step_dist"))
-    rows, jobs = _job_rows(
-        tables, Scope(tml_id, eq_type, eq_no), start, end, group, LADEN_FIELDS, *_laden(distance), F.sum(distance).alias("total_dist")
-    )
+    sums = [*_laden(distance), F.sum(distance).alias("total_dist")]
+    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, LADEN_FIELDS, *sums)
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "laden_dist", "unladen_dist", "total_dist", "user_id"]
     return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
 
@@ -264,7 +271,8 @@ def fuel_by_unit(
     tables: Tables, start: TimeLike, end: TimeLike, tml_id: str | None = None, eq_type: str | None = None
 ) -> DataFrame:
     scope = Scope(tml_id, eq_type)
-    used = trips(tables, scope, start, end).groupBy(*UNIT).agg(F.sum(F.coalesce(F.col("fuel"), F.lit(0))).alias("fuel_cons"))
+    fuel = F.sum(F.coalesce(F.col("fuel"), F.lit(0))).alias("fuel_cons")
+    used = trips(tables, scope, start, end).groupBy(*UNIT).agg(fuel)
     job = facts(tables, "bi_eq_tran", scope, start, end).groupBy(*UNIT).agg(F.sum("fuel").alias("job_fuel"))
     return used.join(job, UNIT, "left").select(*UNIT, "fuel_cons", "job_fuel")
 
@@ -279,7 +287,8 @@ def fuel_rows(
 ) -> DataFrame:
     """Jobs that look alike in these columns merge, and their fuel is shown once."""
     group = ["eq_no", "cntr_no", "job_type", "fuel", "user_id"]
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], F.sum(whole(F.col("step_dist"))).alias("trv_dist"))
+    scope, dist = Scope(tml_id, eq_type, eq_no), F.sum(whole(F.col("step_dist"))).alias("trv_dist")
+    rows, jobs = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
     out = ["eq_no", "cntr_no", "job_type", "trv_dist", "fuel", "user_id"]
     return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
 

@@ -95,7 +95,8 @@ def _with_config(df: DataFrame, tables: Tables, scope: Scope) -> DataFrame:
 def _session_report(tables: Tables, day: DayLike, as_of: TimeLike, scope: Scope, split_by_job: bool) -> DataFrame:
     first, last = day_range(day)
     m = _with_config(_minutes_by_key(tables, scope, first, last, as_of, split_by_job), tables, scope)
-    calendar, close, util, job, wait, no_job = (F.col(c) for c in ("calendar", "tml_close_min", "util", "job", "wait", "no_job"))
+    calendar, util, job, wait, no_job = (F.col(c) for c in ("calendar", "util", "job", "wait", "no_job"))
+    close = F.col("tml_close_min")
     at = util + F.col("unsch_down_time_min")
     measures = {
         "calendar_time_min": calendar,
@@ -160,7 +161,8 @@ def oee_tree(
     )
     rows = day_spine(key_spine(tables, scope, jobs), first, last).join(calendar, KEYS, "left")
     m = _with_config(rows.join(ran, KEY_DAY, "left").join(worked, KEY_DAY, "left"), tables, scope)
-    calendar, ign, job, wait, no_job = F.coalesce(F.col("calendar"), F.lit(0)), F.col("ign"), F.col("job"), F.col("wait"), F.col("no_job")
+    calendar = F.coalesce(F.col("calendar"), F.lit(0))
+    ign, job, wait, no_job = (F.col(c) for c in ("ign", "job", "wait", "no_job"))
     close, offline, unsch = F.col("tml_close_min"), F.col("offline_opr_delay_min"), F.col("unsch_down_time_min")
     sch, failure = F.col("sch_down_time_min"), F.col("tos_failure_online_min")
     toc = job + no_job

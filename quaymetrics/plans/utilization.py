@@ -10,7 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import running_minutes, within
-from ..functions.timeops import DayLike, TimeLike, ceil_hours, ceil_minutes, day_end, day_range, day_start, elapsed, hour_floor, hour_number, round_minutes, span
+from ..functions.timeops import (
+    DayLike,
+    TimeLike,
+    ceil_hours,
+    ceil_minutes,
+    day_end,
+    day_range,
+    day_start,
+    elapsed,
+    hour_floor,
+    hour_number,
+    round_minutes,
+    span,
+)
 from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval, hours_touched, pieces_with_contained
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, unit_hours
@@ -175,9 +188,8 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     same = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in (*UNIT_DAY, "_hour")]
     rows = h.join(r, [*same, F.col("r._last_hour") >= F.col("h.start_time")], "left").select("h.*", "work_start", "work_end")
     work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min")
-    return rows.select(
-        *KEY_DAY, "hour_seq", "eq_no", F.col("start_time").alias(f"{prefix}_start_time"), F.col("end_time").alias(f"{prefix}_end_time"), *work
-    ).orderBy(*KEY_DAY, "eq_no", "hour_seq")
+    bounds = [F.col(c).alias(f"{prefix}_{c}") for c in ("start_time", "end_time")]
+    return rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work).orderBy(*KEY_DAY, "eq_no", "hour_seq")
 
 
 def ignition_summary(
@@ -292,6 +304,5 @@ def break_hours(
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     rows = rows.withColumnsRenamed({"in_time": "work_start", "out_time": "work_end"})
     work = _work_in_hour("brk_start_time", "brk_end_time", "brk_time_min")
-    return rows.select(
-        *KEY_DAY, "hour_seq", "eq_no", F.col("start_time").alias("ign_start_time"), F.col("end_time").alias("ign_end_time"), *work
-    )
+    bounds = [F.col(c).alias(f"ign_{c}") for c in ("start_time", "end_time")]
+    return rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work)

@@ -114,6 +114,12 @@ def test_range_numbering_equals_the_window(spark):
     assert "RDDScan" in hot or "Scan ExistingRDD" in hot
 
 
+def test_range_numbering_of_the_whole_table(spark):
+    made = spark.range(5_000, numPartitions=4).select((F.col("id") * 7919 % 5_003).alias("a"))
+    got = range_numbered(made, [], ["a"], "seq")
+    assert [r[0] for r in rows(got.orderBy("a"), "seq")] == list(range(1, 5_001))
+
+
 def test_reports_do_not_change_when_units_are_hot(derived, monkeypatch):
     days = ("2024-01-10", "2024-01-13")
     reports = [
