@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,8 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     """Join condition on row_key() that also matches null ids."""
     return left["id"].eqNullSafe(right["id"]) & (left["digest"] == right["digest"])
+
+
+def ship(module: str) -> None:
+    """Send a module's functions to Python workers by value, so that workers need no installed copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

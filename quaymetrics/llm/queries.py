@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quaymetrics.llm import oracle
 from quaymetrics.llm.decontaminate import contamination
 from quaymetrics.llm.line_dedup import line_report
+from quaymetrics.llm.mixing import mix_report
+from quaymetrics.llm.simhash import near_dedup_report
 from quaymetrics.session import prepare
 
 
@@ -19,6 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_line_dedup": lambda s, d: line_report(table(s, d, "documents")),
+    "op7_simhash": lambda s, d: near_dedup_report(table(s, d, "documents")).drop("digest"),
+    "op9_mixing": lambda s, d: mix_report(table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
