@@ -1,5 +1,29 @@
 """DuckDB statements, written from the plain definitions."""
 
+SUFFIX_DEDUP = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (
+    SELECT doc_id, s, hash(substring(h, 2 * s + 1, 200)) AS k
+    FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM bytes WHERE len(h) >= 200)),
+repeated AS (SELECT k FROM places GROUP BY k HAVING count(*) > 1),
+ranked AS (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY substring(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS n
+    FROM places JOIN repeated USING (k) JOIN bytes USING (doc_id)),
+later AS (SELECT doc_id, s FROM ranked WHERE n > 1),
+steps AS (SELECT doc_id, s, s - lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) > 100 AS starts FROM later),
+numbered AS (SELECT doc_id, s, count(*) FILTER (starts) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM steps),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, k),
+edges AS (SELECT doc_id, k, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM spans),
+parts AS (
+    SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+           string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY k) AS kept
+    FROM edges JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN parts USING (doc_id)
+"""
+
 _FILLED = r"regexp_matches(line, '[^\x20\x09-\x0D]')"
 
 LINE_DEDUP = rf"""

@@ -11,6 +11,7 @@ from quaymetrics.llm.decontaminate import contamination
 from quaymetrics.llm.line_dedup import line_report
 from quaymetrics.llm.mixing import mix_report
 from quaymetrics.llm.simhash import near_dedup_report
+from quaymetrics.llm.suffix_dedup import suffix_report
 from quaymetrics.session import prepare
 
 
@@ -19,6 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": lambda s, d: suffix_report(table(s, d, "documents")),
     "op5_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_line_dedup": lambda s, d: line_report(table(s, d, "documents")),
     "op7_simhash": lambda s, d: near_dedup_report(table(s, d, "documents")).drop("digest"),
@@ -26,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op5_decontamination": oracle.DECONTAMINATION,
     "op6_line_dedup": oracle.LINE_DEDUP,
 }
