@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quaymetrics.llm import oracle
 from quaymetrics.llm.decontaminate import contamination
 from quaymetrics.llm.line_dedup import line_report
+from quaymetrics.llm.lm_score import lm_scores
 from quaymetrics.llm.mixing import mix_report
+from quaymetrics.llm.quality_classifier import quality_report, remainder
 from quaymetrics.llm.simhash import near_dedup_report
 from quaymetrics.llm.suffix_dedup import suffix_report
 from quaymetrics.session import prepare
 
 
+#: A sentencepiece file with 32,000 pieces; every executor has the tokenizers' package installed.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -24,7 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_line_dedup": lambda s, d: line_report(table(s, d, "documents")),
     "op7_simhash": lambda s, d: near_dedup_report(table(s, d, "documents")).drop("digest"),
+    "op8_lm_score": lambda s, d: lm_scores(table(s, d, "documents"), remainder("doc_id", 7) == 2, VOCABULARY),
     "op9_mixing": lambda s, d: mix_report(table(s, d, "documents")),
+    "op10_quality_classifier": lambda s, d: quality_report(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {
