@@ -81,3 +81,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+_WRITTEN = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
+_TEXT, _ROLE = _WRITTEN.format("text"), "replace(" + _WRITTEN.format("role") + ", '>', '&gt;')"
+CHAT_FORMAT = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn:>' || {_ROLE} || {_TEXT} || '</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaymetrics.llm import oracle
+from quaymetrics.llm.chat import chat_report
 from quaymetrics.llm.decontaminate import contamination
+from quaymetrics.llm.language_id import language_report
 from quaymetrics.llm.line_dedup import line_report
 from quaymetrics.llm.lm_score import lm_scores
 from quaymetrics.llm.mixing import mix_report
@@ -25,8 +28,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The table and conversation -7, whose texts look like a template's control strings."""
+    tricky = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
+    )
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda s, d: suffix_report(table(s, d, "documents")),
+    "op2_language_id": lambda s, d: language_report(table(s, d, "documents")),
+    "op3_chat_format": lambda s, d: chat_report(conversations(s, d)),
     "op5_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_line_dedup": lambda s, d: line_report(table(s, d, "documents")),
     "op7_simhash": lambda s, d: near_dedup_report(table(s, d, "documents")).drop("digest"),
@@ -37,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op3_chat_format": oracle.CHAT_FORMAT,
     "op5_decontamination": oracle.DECONTAMINATION,
     "op6_line_dedup": oracle.LINE_DEDUP,
 }
