@@ -15,6 +15,7 @@ from quaymetrics.llm.line_dedup import line_report
 from quaymetrics.llm.lm_score import lm_scores
 from quaymetrics.llm.mixing import mix_report
 from quaymetrics.llm.quality_classifier import quality_report, remainder
+from quaymetrics.llm.quality_rules import quality_rules
 from quaymetrics.llm.simhash import near_dedup_report
 from quaymetrics.llm.suffix_dedup import suffix_report
 from quaymetrics.session import prepare
@@ -42,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda s, d: suffix_report(table(s, d, "documents")),
     "op2_language_id": lambda s, d: language_report(table(s, d, "documents")),
     "op3_chat_format": lambda s, d: chat_report(conversations(s, d)),
+    "op4_quality_rules": lambda s, d: quality_rules(table(s, d, "documents"), table(s, d, "labels")),
     "op5_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_line_dedup": lambda s, d: line_report(table(s, d, "documents")),
     "op7_simhash": lambda s, d: near_dedup_report(table(s, d, "documents")).drop("digest"),
