@@ -1,7 +1,7 @@
 """Joins of intervals with points and with other intervals of the same unit and day.
 
-Every join carries the hour in its equality key, so a unit's rows are spread over the hours of its days and only rows
-that share an hour are compared.
+Every join carries the hour (or minute) in its equality key, so a unit's rows are spread over the hours of its days and
+only rows that share one are compared.
 """
 
 from __future__ import annotations
@@ -9,17 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timeops import ceil_to, floor_to, hour_number, micros
-from .hot import HOT_ROWS, flag_hot, hot_keys
+from ..functions.timeops import HOUR, MINUTE, ceil_to, day_start, floor_to, hour_number, micros
 from .spine import UNIT
 
 UNIT_DAY = [*UNIT, "day"]
 
-# Block sizes in microseconds for units with very many points; each size divides the next.
-BLOCKS = [n * 1_000_000 for n in (1, 4, 12, 60, 300, 900, 3600, 14_400)]
-
 _AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
@@ -29,36 +26,56 @@ def hours_touched(start: Column, end: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high))
 
 
-def _hour_pieces(intervals: DataFrame) -> DataFrame:
-    """One row per hour an interval touches; a reversed interval keeps one row without an hour, which joins nothing."""
-    return intervals.withColumn("_hour", F.explode_outer(hours_touched(F.col("on_time"), F.col("off_time"))))
+def _outer_pieces(outer: DataFrame) -> DataFrame:
+    """One row per hour that an interval touches. A reversed one has the hour of its start only."""
+    on, off = F.col("on_time"), F.col("off_time")
+    hours = F.coalesce(hours_touched(on, off), F.array(hour_number(on)))
+    return outer.withColumn("_hour", F.explode_outer(hours))
 
 
-def _join_in_hour(pieces: DataFrame, others: DataFrame, inside: Column) -> DataFrame:
-    """Pieces with the rows of the same unit, day and hour that satisfy `inside`; pieces without any stay."""
-    p, o = pieces.alias("p"), others.alias("o")
-    same = [F.col(f"p.{c}") == F.col(f"o.{c}") for c in (*UNIT_DAY, "_hour")]
-    extra = [c for c in others.columns if c not in (*UNIT_DAY, "_hour")]
-    return p.join(o, [*same, inside], "left").select("p.*", *extra).drop("_hour")
+def _inner_pieces(inner: DataFrame) -> DataFrame:
+    """One row at the hour of the start. A reversed interval has one per hour from its end to its start: an interval
+    with on <= in and off >= out then lies inside it or overlaps it. No interval of the day starts before the day."""
+    low = F.greatest(hour_number(F.col("out_time")), hour_number(day_start(F.col("day"))))
+    high = hour_number(F.col("in_time"))
+    backwards = (F.col("out_time") < F.col("in_time")) & (low <= high)
+    return inner.withColumn("_hour", F.explode(F.when(backwards, F.sequence(low, high)).otherwise(F.array(high))))
 
 
 def pieces_with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Outer intervals (on_time, off_time) with the inner ones (in_time, out_time) lying wholly inside.
+    """Outer intervals (on_time, off_time) with the inner ones (in_time, out_time) such that on <= in and off >= out.
 
-    Both carry tml_id, eq_type, eq_no, day. Each match comes once. Besides, an outer interval has a row without a
-    match for each of its hours in which none begins: meant to be aggregated per outer interval.
+    Both carry tml_id, eq_type, eq_no, day; either may be reversed. Each match comes once. Besides, an outer interval has
+    a row without a match for each of its hours in which none begins: meant to be aggregated per outer interval.
     """
-    keyed = inner.withColumn("_hour", hour_number(F.col("in_time")))
-    inside = (F.col("on_time") <= F.col("in_time")) & (F.col("off_time") >= F.col("out_time"))
-    return _join_in_hour(_hour_pieces(outer), keyed, inside)
+    return _with_contained(outer, inner).drop("_hour")
+
+
+def _with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    o, i = _outer_pieces(outer).alias("o"), _inner_pieces(inner).alias("i")
+    on, off, hour = F.col("o.on_time"), F.col("o.off_time"), F.col("o._hour")
+    in_, out = F.col("i.in_time"), F.col("i.out_time")
+    same = [F.col(f"o.{c}") == F.col(f"i.{c}") for c in (*UNIT_DAY, "_hour")]
+    # two spread intervals share several hours: they meet in the first one
+    once = (in_ <= out) | (on > off) | (hour == F.greatest(hour_number(on), hour_number(out)))
+    extra = [F.col(f"i.{c}") for c in inner.columns if c not in UNIT_DAY]
+    return o.join(i, [*same, on <= in_, off >= out, once], "left").select("o.*", *extra)
 
 
 def contains_interval(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Left join of outer intervals with the inner ones lying wholly inside, one row per match."""
-    frame = [*UNIT_DAY, "on_time", "off_time"]
-    pairs = pieces_with_contained(outer, inner).where(F.col("in_time").isNotNull())
-    alone = outer.join(pairs.select(*frame).distinct(), frame, "left_anti")
-    return pairs.unionByName(alone, allowMissingColumns=True)
+    """Left join of outer intervals with the inner ones lying wholly inside, one row per match.
+
+    An interval without a match keeps the row of its first hour.
+    """
+    frame = W.partitionBy(*UNIT_DAY, "on_time", "off_time")
+    matched = F.col("in_time").isNotNull()
+    rows = (
+        _with_contained(outer, inner)
+        .withColumn("_matches", F.count("in_time").over(frame))
+        .withColumn("_first", F.min("_hour").over(frame))
+    )
+    alone = (F.col("_matches") == 0) & F.col("_hour").eqNullSafe(F.col("_first"))
+    return rows.where(matched | alone).drop("_hour", "_matches", "_first")
 
 
 def aggregate_inside(
@@ -67,90 +84,68 @@ def aggregate_inside(
     at: str,
     aggregates: dict[str, tuple[str, str]],
     keep: Sequence[str] = (),
-    sizes: DataFrame | None = None,
-    hot_limit: int = HOT_ROWS,
 ) -> DataFrame:
     """For each distinct interval [on_time, off_time], aggregates over the points of its unit and day inside it.
 
     `aggregates` maps an output name to (min | max | sum, point column), each column used once.
-    Intervals without points get NULLs; `keep` names interval columns to carry along. `sizes` is a cheaper table to
-    count each unit's points by. Units with more than `hot_limit` points go through `_by_blocks`, which
-    compares intervals and points one by one only within a second.
+    Intervals without points get NULLs; `keep` names interval columns to carry along.
+
+    Points are aggregated per instant, minute and hour before the join. An interval looks up the whole hours that it
+    fills, the whole minutes before and after them, and only in its first and last minute the instants.
     """
     frame = [*UNIT_DAY, "on_time", "off_time"]
     functions = {column: fn for fn, column in aggregates.values()}
     if len(functions) < len(aggregates):
         raise ValueError("each point column can be aggregated once")
-    intervals = intervals.select(*frame, *keep)
-    hot = hot_keys(points if sizes is None else sizes, UNIT, hot_limit)
-    points = points.select(*UNIT_DAY, F.col(at).alias("_at"), *[F.col(c).alias(f"_{c}") for c in functions])
-    values = [f"_{c}" for c in functions]
-    if not hot:
-        found = _by_hour(intervals, points, values)
-    else:
-        rows, marked = flag_hot(intervals, UNIT, hot, "_hot"), flag_hot(points, UNIT, hot, "_hot")
-        cold = _by_hour(rows.where(~F.col("_hot")).drop("_hot"), marked.where(~F.col("_hot")), values)
-        # every interval once without points, so that those that hold none stay
-        every = rows.where("_hot").drop("_hot")
-        filled = _by_blocks(every, marked.where("_hot"), frame, {f"_{c}": fn for c, fn in functions.items()})
-        found = cold.unionByName(every, allowMissingColumns=True).unionByName(filled, allowMissingColumns=True)
+    block = [*UNIT_DAY, "_size", "_start"]
+    rows = intervals.select(*frame, *keep, F.explode_outer(_blocks_inside()).alias("_block"))
+    rows = rows.select(*frame, *keep, F.col("_block.size").alias("_size"), F.col("_block.start").alias("_start"))
+    i, p = rows.alias("i"), _blocks(points, at, functions).alias("p")
+    same = [F.col(f"i.{c}") == F.col(f"p.{c}") for c in block]
+    inside = F.col("p._at").isNull() | F.col("p._at").between(F.col("i.on_time"), F.col("i.off_time"))
+    found = i.join(p, [*same, inside], "left").select("i.*", *[F.col(f"p._{c}") for c in functions])
     carried = [F.max(c).alias(c) for c in keep]
     results = [_AGGREGATES[fn](f"_{column}").alias(name) for name, (fn, column) in aggregates.items()]
     return found.groupBy(*frame).agg(*carried, *results)
 
 
-def _inside(at: str = "_at") -> Column:
-    return F.col(at).between(F.col("on_time"), F.col("off_time"))
-
+def _block(size: int, start: Column) -> Column:
+    return F.struct(F.lit(size).cast("bigint").alias("size"), start.alias("start"))
 
-def _by_hour(intervals: DataFrame, points: DataFrame, values: Sequence[str]) -> DataFrame:
-    keyed = points.select(*UNIT_DAY, "_at", *values, hour_number(F.col("_at")).alias("_hour"))
-    return _join_in_hour(_hour_pieces(intervals), keyed, _inside()).drop("_at")
 
+def _blocks(points: DataFrame, at: str, functions: dict[str, str]) -> DataFrame:
+    """Aggregates per unit, day and block: size 0 is an instant (_at), keyed by its minute."""
+    us = micros(F.col("_at"))
+    minute, hour = floor_to(us, MINUTE), floor_to(us, HOUR)
+    kinds = F.explode(F.array(_block(0, minute), _block(MINUTE, minute), _block(HOUR, hour)))
+    values = [F.col(c).alias(f"_{c}") for c in functions]
+    spread = points.select(*UNIT_DAY, F.col(at).alias("_at"), *values).withColumn("_block", kinds)
+    instant = F.when(F.col("_block.size") == 0, F.col("_at")).alias("_at")
+    keys = [*UNIT_DAY, F.col("_block.size").alias("_size"), F.col("_block.start").alias("_start"), instant]
+    return spread.groupBy(*keys).agg(*[_AGGREGATES[fn](f"_{c}").alias(f"_{c}") for c, fn in functions.items()])
 
-def _runs(start: Column, stop: Column) -> Column:
-    """Array of (size, from, to): the fewest whole blocks that fill [start, stop), as runs of equal size. May be empty runs."""
 
-    def run(size: int, low: Column, high: Column) -> Column:
-        return F.struct(F.lit(size).cast("bigint").alias("size"), low.alias("low"), high.alias("high"))
-
-    parts = []
-    for size, bigger in zip(BLOCKS, BLOCKS[1:]):
-        low, high = ceil_to(start, size), floor_to(stop, size)
-        big_low, big_high = ceil_to(start, bigger), floor_to(stop, bigger)
-        has_bigger = big_low < big_high
-        parts.append(run(size, low, F.when(has_bigger, big_low).otherwise(high)))
-        parts.append(run(size, F.when(has_bigger, big_high).otherwise(high), high))
-    return F.array(*parts, run(BLOCKS[-1], ceil_to(start, BLOCKS[-1]), floor_to(stop, BLOCKS[-1])))
-
-
-def _by_blocks(
-    intervals: DataFrame, points: DataFrame, frame: Sequence[str], functions: dict[str, str]
-) -> DataFrame:
-    """Points are pre-aggregated into blocks of growing size; an interval looks up the blocks that fill it.
-
-    Only the second it starts in and the second it ends in are compared point by point.
-    """
-    second = BLOCKS[0]
-    t = micros(F.col("_at"))
+def _blocks_inside() -> Column:
+    """The blocks that an interval fills, and the minutes (as size 0) that it fills in part."""
     start, stop = micros(F.col("on_time")), micros(F.col("off_time")) + 1
-    block = [*UNIT_DAY, "_size", "_start"]
 
-    sums = [_AGGREGATES[fn](c).alias(c) for c, fn in functions.items()]
-    sizes = F.explode(F.array(*[F.lit(size).cast("bigint") for size in BLOCKS]))
-    sized = points.withColumn("_us", t).withColumn("_size", sizes)
-    blocks = sized.withColumn("_start", F.col("_us") - F.pmod("_us", "_size")).groupBy(*block).agg(*sums)
-
-    runs = intervals.select(*frame, F.explode(_runs(start, stop)).alias("_run")).where("_run.low < _run.high")
-    size, low, high = (F.col(f"_run.{c}") for c in ("size", "low", "high"))
-    cover = runs.select(*frame, size.alias("_size"), F.explode(F.sequence(low, high - size, size)).alias("_start"))
-    filled = cover.join(blocks, block)
-
-    edge_start = F.when(F.pmod(start, F.lit(second)) != 0, floor_to(start, second))
-    edge_stop = F.when(F.pmod(stop, F.lit(second)) != 0, floor_to(stop, second))
-    edges = F.explode(F.array_distinct(F.array_compact(F.array(edge_start, edge_stop))))
-    near = intervals.select(*frame, edges.alias("_start")).join(
-        points.withColumn("_start", floor_to(t, second)), [*UNIT_DAY, "_start"]
+    def run(size: int, low: Column, high: Column) -> Column:
+        step = F.lit(size).cast("bigint")
+        filled = F.transform(F.sequence(low, high - step, step), lambda x: _block(size, x))
+        return F.when(low < high, filled).otherwise(F.array().cast("array<struct<size:bigint,start:bigint>>"))
+
+    low, high = ceil_to(start, MINUTE), floor_to(stop, MINUTE)
+    hour_low, hour_high = ceil_to(start, HOUR), floor_to(stop, HOUR)
+    has_hours = hour_low < hour_high
+    edges = F.array_compact(F.array(
+        F.when(F.pmod(start, F.lit(MINUTE)) != 0, floor_to(start, MINUTE)),
+        F.when(F.pmod(stop, F.lit(MINUTE)) != 0, floor_to(stop, MINUTE)),
+    ))
+    return F.concat(
+        run(MINUTE, low, F.when(has_hours, hour_low).otherwise(high)),
+        run(HOUR, hour_low, hour_high),
+        run(MINUTE, F.when(has_hours, hour_high).otherwise(high), high),
+        F.when(start < stop, F.transform(F.array_distinct(edges), lambda x: _block(0, x))).otherwise(
+            F.array().cast("array<struct<size:bigint,start:bigint>>")
+        ),
     )
-    columns = [*frame, *functions]
-    return filled.select(*columns).unionByName(near.where(_inside()).select(*columns))

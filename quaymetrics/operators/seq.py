@@ -8,49 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .hot import HOT_ROWS, hot_keys
-
 
 def _order(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
 def numbered(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    sizes: DataFrame | None = None,
-    limit: int = HOT_ROWS,
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, bucket: Column | None = None
 ) -> DataFrame:
     """Add `name`: 1, 2, ... within each group by `order`, NULLs first. Rows equal in all of `order` may swap.
 
-    `sizes` is a cheaper table with at least as many rows per group, used to look for hot groups.
-    Groups of ordinary size are numbered by a window. If there is a hot one, see `range_numbered`.
-    """
-    if hot_keys(df if sizes is None else sizes, group, limit):
-        return range_numbered(df, group, order, name)
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*_order(order))).cast("bigint"))
-
-
-def range_numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Numbering that splits a group over as many tasks as its rows need.
-
-    Rows are range-partitioned by group and order. Each (slice, group) is numbered on its own, then raised by the
-    rows the same group has in earlier slices. The partitioned rows are checkpointed first, because a second
-    evaluation could draw the range borders elsewhere.
+    `bucket` splits a group over many tasks. It must rise with the leading column of `order`, never falling along it,
+    NULL first. Rows are numbered per group and bucket, then raised by the rows that the group has in earlier buckets.
+    Without it a group is one task's: for groups that cannot be large.
     """
-    checkpoint_dir(df.sparkSession)
-    by = [*_order(group), *_order([c for c in order if c not in group])]
-    sliced = df.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    counts = sliced.groupBy("_slice", *group).agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    # A group lies in neighbouring slices, so only the first group of a slice can continue an earlier one:
-    # at most one row per slice is left.
-    offsets = counts.withColumn("_before", F.sum("_n").over(earlier)).where(F.col("_before") > 0).drop("_n")
-    local = F.row_number().over(W.partitionBy("_slice", *group).orderBy(*_order(order)))
-    matched = [F.col("r._slice") == F.col("o._slice"), *[F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group]]
-    joined = sliced.withColumn("_local", local).alias("r").join(F.broadcast(offsets).alias("o"), matched, "left")
-    number = (F.col("r._local") + F.coalesce(F.col("o._before"), F.lit(0))).cast("bigint").alias(name)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], number)
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*_order(order))).cast("bigint"))
+    keys = [*group, "_bucket"]
+    rows = df.withColumn("_bucket", bucket)
+    earlier = W.partitionBy(*group).orderBy(*_order(["_bucket"])).rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier))
+    r, o = rows.alias("r"), sizes.alias("o")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in keys]
+    local = F.row_number().over(W.partitionBy(*[F.col(f"r.{c}") for c in keys]).orderBy(*_order([f"r.{c}" for c in order])))
+    number = (local + F.coalesce(F.col("o._before"), F.lit(0))).cast("bigint").alias(name)
+    return r.join(o, same, "left").select(*[F.col(f"r.{c}") for c in df.columns], number)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import whole
-from ..sources.schema import LEG_JSON, STEP_FIELDS, step_json
+from ..sources.schema import LEG_JSON, STEP_FIELDS, parsed, step_json
 
 
 def explode_steps(df: DataFrame, column: str, *fields: str) -> DataFrame:
@@ -16,14 +18,14 @@ def explode_steps(df: DataFrame, column: str, *fields: str) -> DataFrame:
     """
     fields = fields or tuple(STEP_FIELDS)
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.explode(F.from_json(F.col(column), step_json(*fields))).alias("step"))
+    rows = df.select(*others, F.explode(parsed(df, column, step_json(*fields))).alias("step"))
     return rows.select(*others, *[F.col(f"step.{STEP_FIELDS[f][0]}").alias(f) for f in fields])
 
 
 def explode_legs(df: DataFrame, column: str = "trv_with_eta") -> DataFrame:
     """One row per travel leg; distances and times become whole numbers leg by leg. leg_no is the array position."""
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.posexplode(F.from_json(F.col(column), LEG_JSON)).alias("leg_no", "leg"))
+    rows = df.select(*others, F.posexplode(parsed(df, column, LEG_JSON)).alias("leg_no", "leg"))
     return rows.select(
         *others,
         "leg_no",
@@ -34,3 +36,11 @@ def explode_legs(df: DataFrame, column: str = "trv_with_eta") -> DataFrame:
         whole(F.col("leg.etaTimeSec")).alias("eta_time_sec"),
         whole(F.col("leg.ataTimeSec")).alias("ata_time_sec"),
     )
+
+
+def sum_of(array: str, value: Callable[[Column], Column]) -> Column:
+    """SUM of value over an array's elements within the row: NULLs are left out, NULL if there is nothing else."""
+    values = F.filter(F.transform(array, lambda x: value(x).cast("decimal(38,12)")), lambda v: v.isNotNull())
+    zero = F.lit(0).cast("decimal(38,12)")
+    total = F.aggregate(values, zero, lambda total, v: (total + v).cast("decimal(38,12)"))
+    return F.when(F.exists(array, lambda x: value(x).isNotNull()), total)

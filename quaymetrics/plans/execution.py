@@ -14,7 +14,7 @@ from ..functions.timeops import TimeLike, hour_floor
 from ..operators.seq import numbered
 from ..operators.spine import KEYS, UNIT, bucket_end, hour_spine, in_bucket, key_spine, onto_hours, rolling_window
 from ..operators.steps import explode_legs, explode_steps
-from ..sources.tables import Scope, Tables, facts, scoped, trips
+from ..sources.tables import Scope, Tables, facts, scoped, sorted_rows, trips
 
 HOUR_COLUMNS = [*KEYS, "s_time", "e_time", "hour_step"]
 TIME_FIELDS = ["interval_sec", "activity_type"]
@@ -50,7 +50,8 @@ def travel_eff_hourly(
     done = F.col("job_cmpl_time")
     legs = explode_legs(jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "trv_with_eta"))
     spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
-    return onto_hours(spine, _hourly(legs, done, *_leg_sums())).select(*HOUR_COLUMNS, *LEG_VALUES).orderBy(*KEYS, "s_time")
+    rows = onto_hours(spine, _hourly(legs, done, *_leg_sums())).select(*HOUR_COLUMNS, *LEG_VALUES)
+    return sorted_rows(rows, scope, *KEYS, "s_time")
 
 
 def travel_eff_by_job(
@@ -82,7 +83,7 @@ def travel_eff_legs(
     kept = [*dict.fromkeys([*UNIT, "job_id", "cntr_no", "job_cmpl_time", "user_id", "trv_with_eta"])]
     legs = explode_legs(jobs.select(*kept))
     order = ["eq_no", "job_cmpl_time", "cntr_no", "user_id", "leg_no", "from_step", "to_step", *LEG_VALUES]
-    rows = numbered(legs, call, order, "r_seq", sizes=jobs)
+    rows = numbered(legs, call, order, "r_seq")
     return rows.select(
         *KEYS,
         "job_id",
@@ -123,7 +124,8 @@ def travel_with_job_by_unit(
     total = trips(tables, scope, start, end).groupBy(*UNIT).agg(whole(F.sum("dist")).alias("total_dist"))
     job = facts(tables, "bi_eq_tran", scope, start, end).groupBy(*UNIT).agg(F.sum("trv_dist").alias("job_dist"))
     without = (F.col("total_dist") - F.coalesce(F.col("job_dist"), F.lit(0))).alias("no_job_dist")
-    return total.join(job, UNIT, "left").select(*UNIT, "total_dist", "job_dist", without).orderBy(*UNIT)
+    rows = total.join(job, UNIT, "left").select(*UNIT, "total_dist", "job_dist", without)
+    return sorted_rows(rows, scope, *UNIT)
 
 
 def travel_with_job_rows(
@@ -136,10 +138,10 @@ def travel_with_job_rows(
 ) -> DataFrame:
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "user_id", "eq_tran_id"]
     scope, dist = Scope(tml_id, eq_type, eq_no), F.sum(whole(F.col("step_dist"))).alias("dist")
-    rows, jobs = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
+    rows = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id", "eq_tran_id"]
-    ordered = numbered(rows, UNIT, [*group, "dist"], "r_seq", sizes=jobs)
-    return ordered.select(*KEYS, "r_seq", *out).orderBy(*UNIT, "r_seq")
+    ordered = numbered(rows, UNIT, [*group, "dist"], "r_seq", hour_floor(F.col("job_cmpl_time")))
+    return sorted_rows(ordered.select(*KEYS, "r_seq", *out), scope, *UNIT, "r_seq")
 
 
 def _job_rows(
@@ -150,11 +152,11 @@ def _job_rows(
     group: list[str],
     fields: list[str],
     *aggregates: Column,
-) -> tuple[DataFrame, DataFrame]:
-    """Cycle steps of jobs completed in the range, summed per group, and the jobs they come from."""
+) -> DataFrame:
+    """Cycle steps of jobs completed in the range, summed per group."""
     jobs = facts(tables, "bi_job_hist", scope, start, end, F.col("bi_jh_job_cycle_step").isNotNull())
     steps = explode_steps(jobs.select(*KEYS, *group, "job_cycle_step"), "job_cycle_step", *fields)
-    return steps.groupBy(*KEYS, *group).agg(*aggregates), jobs
+    return steps.groupBy(*KEYS, *group).agg(*aggregates)
 
 
 # Job cycle time
@@ -246,9 +248,9 @@ def laden_rows(
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "user_id"]
     distance = whole(F.col("step_dist"))
     sums = [*_laden(distance), F.sum(distance).alias("total_dist")]
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, LADEN_FIELDS, *sums)
+    rows = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, LADEN_FIELDS, *sums)
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "laden_dist", "unladen_dist", "total_dist", "user_id"]
-    return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
+    return numbered(rows, UNIT, group, "r_seq", hour_floor(F.col("job_cmpl_time"))).select(*KEYS, "r_seq", *out)
 
 
 # Fuel
@@ -286,11 +288,11 @@ def fuel_rows(
     eq_type: str | None = None,
 ) -> DataFrame:
     """Jobs that look alike in these columns merge, and their fuel is shown once."""
-    group = ["eq_no", "cntr_no", "job_type", "fuel", "user_id"]
+    group = ["eq_no", "cntr_no", "job_type", "fuel", "user_id"]  # eq_no is the unit's own: cntr_no leads the order
     scope, dist = Scope(tml_id, eq_type, eq_no), F.sum(whole(F.col("step_dist"))).alias("trv_dist")
-    rows, jobs = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
+    rows = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
     out = ["eq_no", "cntr_no", "job_type", "trv_dist", "fuel", "user_id"]
-    return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
+    return numbered(rows, UNIT, group[1:], "r_seq", F.col("cntr_no")).select(*KEYS, "r_seq", *out)
 
 
 # Work with and without a job
@@ -334,6 +336,6 @@ def execution_rows(
 ) -> DataFrame:
     group = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "user_id"]
     dist = F.sum(F.coalesce(whole(F.col("step_dist")), F.lit(0))).alias("dist")
-    rows, jobs = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], dist)
+    rows = _job_rows(tables, Scope(tml_id, eq_type, eq_no), start, end, group, ["step_dist"], dist)
     out = ["job_cmpl_time", "cntr_no", "eq_no", "job_type", "from_loc", "to_loc", "dist", "user_id"]
-    return numbered(rows, UNIT, group, "r_seq", sizes=jobs).select(*KEYS, "r_seq", *out)
+    return numbered(rows, UNIT, group, "r_seq", hour_floor(F.col("job_cmpl_time"))).select(*KEYS, "r_seq", *out)

@@ -5,46 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import is_waiting
 from ..functions.timeops import DayLike, TimeLike, ceil_minutes, day_range, elapsed, round_minutes
 from ..operators.intervals import UNIT_DAY, aggregate_inside, pieces_with_contained
 from ..operators.sessions import STRICT, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, key_spine
-from ..operators.steps import explode_steps
+from ..operators.steps import sum_of
 from ..sources.config import SETTINGS, pivot_config
+from ..sources.schema import parsed, step_json
 from ..sources.tables import Scope, Tables, scoped
 from .utilization import KEY_DAY, ignitions, jobs_of_days, logins
 
 
-def _micros() -> Column:
-    """Step length in whole microseconds: exact for the six decimals it has, and cheap to sum."""
-    return (F.col("interval_sec") * 1_000_000).cast("bigint")
-
-
-def _part(condition: Column) -> Column:
-    return F.when(condition, F.col("step_us")).otherwise(F.lit(0).cast("bigint"))
-
-
 def _jobs_with_steps(tables: Tables, scope: Scope, first, last) -> DataFrame:
     return jobs_of_days(tables, scope, first, last, F.col("bi_jh_job_cycle_step").isNotNull())
 
 
 def _step_times(jobs: DataFrame, split_by_job: bool) -> DataFrame:
-    """Cycle steps of jobs. Split by job, time without a job is kept apart; otherwise all of it counts."""
-    columns = [*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", "job_cycle_step"]
-    steps = explode_steps(jobs.select(*columns), "job_cycle_step", "interval_sec", "activity_type").withColumn("step_us", _micros())
+    """Microseconds of cycle steps, summed per job. Split by job, time without a job is kept apart; otherwise all counts.
+
+    Jobs without steps have no row.
+    """
+    steps = parsed(jobs, "job_cycle_step", step_json("interval_sec", "activity_type")).alias("steps")
+    rows = jobs.select(*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", steps).where(F.size("steps") > 0)
+    every = sum_of("steps", lambda s: s["intervalSec"] * 1_000_000)
+    waiting = sum_of("steps", lambda s: F.when(s["activityType"] == "Waiting", s["intervalSec"] * 1_000_000).otherwise(F.lit(0)))
     if split_by_job:
-        with_job = F.col("job_id").isNotNull()
-        parts = [_part(with_job), _part(with_job & is_waiting()), _part(~with_job)]
+        with_job, none = F.col("job_id").isNotNull(), F.lit(0)
+        parts = [F.when(with_job, every).otherwise(none), F.when(with_job, waiting).otherwise(none), F.when(with_job, none).otherwise(every)]
     else:
-        parts = [F.col("step_us"), _part(is_waiting()), F.lit(None).cast("bigint")]
+        parts = [every, waiting, F.lit(None)]
     names = ("job_us", "wait_us", "no_job_us")
-    return steps.select(*UNIT_DAY, "job_fetching_time", "job_cmpl_time", *[p.alias(n) for p, n in zip(parts, names)])
+    # whole microseconds would cut digits that JSON numbers may have
+    sums = [p.cast("decimal(38,12)").alias(n) for p, n in zip(parts, names)]
+    return rows.select(*UNIT_DAY, "job_fetching_time", "job_cmpl_time", *sums)
 
 
 def _minutes_by_key(tables: Tables, scope: Scope, first, last, as_of: TimeLike, split_by_job: bool) -> DataFrame:
-    ignition = clamp_to_days(ignitions(tables, scope), first, last, as_of, STRICT)
-    login = clamp_to_days(logins(tables, scope), first, last, as_of, STRICT)
+    ignition = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, STRICT)
+    login = clamp_to_days(logins(tables, scope, first), first, last, as_of, STRICT)
     jobs = _jobs_with_steps(tables, scope, first, last)
     worked = aggregate_inside(
         login,
@@ -57,7 +55,6 @@ def _minutes_by_key(tables: Tables, scope: Scope, first, last, as_of: TimeLike,
             "no_job_us": ("sum", "no_job_us"),
         },
         keep=["n"],
-        sizes=jobs,
     )
     renamed = {"on_time": "in_time", "off_time": "out_time", "n": "n_logins"}
     pieces = pieces_with_contained(ignition, worked.withColumnsRenamed(renamed))
@@ -146,7 +143,7 @@ def oee_tree(
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     units = scoped(tables, "bi_eq", scope).select(*UNIT)
     calendar = units.groupBy(*KEYS).agg((F.count("*") * 1440).alias("calendar"))
-    ignition = clamp_to_days(ignitions(tables, scope), first, last, as_of, STRICT)
+    ignition = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, STRICT)
     on_micros = elapsed(F.col("on_time"), F.col("off_time")) * F.col("n")
     ran = (
         ignition.groupBy(*UNIT_DAY)

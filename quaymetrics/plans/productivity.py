@@ -9,14 +9,14 @@ from ..functions.measures import container_length, counts_as_json
 from ..functions.timeops import TimeLike, hour_floor
 from ..operators.seq import numbered
 from ..operators.spine import KEYS, UNIT, hour_spine, key_spine, onto_hours, rolling_window
-from ..sources.schema import CONTAINER_JSON
-from ..sources.tables import Scope, Tables, facts
+from ..sources.schema import CONTAINER_JSON, parsed
+from ..sources.tables import Scope, Tables, facts, sorted_rows
 
 COUNTS = ["job_qty", "job_type_qty_str", "cntr_len_qty_str"]
 
 
-def _length() -> Column:
-    return container_length(F.from_json(F.col("cntr_attr"), CONTAINER_JSON)["cntrIso"])
+def _length(jobs: DataFrame) -> Column:
+    return container_length(parsed(jobs, "cntr_attr", CONTAINER_JSON)["cntrIso"])
 
 
 def counted(jobs: DataFrame, *by: str) -> DataFrame:
@@ -25,7 +25,7 @@ def counted(jobs: DataFrame, *by: str) -> DataFrame:
     One scan: rows are counted by (group, type) and (group, length) before the shuffle; only those few counts per
     group are collected into the lists.
     """
-    jobs = jobs.withColumn("cntr_len", _length())
+    jobs = jobs.withColumn("cntr_len", _length(jobs))
     counts = jobs.groupingSets([[*by, "job_type"], [*by, "cntr_len"]], *by, "job_type", "cntr_len").agg(
         F.grouping("cntr_len").alias("_by_type"), F.count("*").alias("qty")
     )
@@ -64,9 +64,10 @@ def productivity_jobs(
     eq_type: str | None = None,
 ) -> DataFrame:
     """Jobs of a unit by completion time, numbered in that order."""
-    jobs = facts(tables, "bi_job_hist", Scope(tml_id, eq_type, eq_no), start, end)
+    scope = Scope(tml_id, eq_type, eq_no)
+    jobs = facts(tables, "bi_job_hist", scope, start, end)
     columns = ["job_cmpl_time", "cntr_len", "eq_no", "cntr_no", "job_type", "from_eq_no", "to_eq_no", "user_id"]
-    rows = jobs.withColumn("cntr_len", _length()).select(*KEYS, *columns)
+    rows = jobs.withColumn("cntr_len", _length(jobs)).select(*KEYS, *columns)
     ties = ["cntr_no", "job_type", "from_eq_no", "to_eq_no", "user_id", "cntr_len"]
-    ordered = numbered(rows, UNIT, ["job_cmpl_time", *ties], "seq", sizes=jobs)
-    return ordered.select(*KEYS, "seq", *columns).orderBy(*UNIT, "seq")
+    ordered = numbered(rows, UNIT, ["job_cmpl_time", *ties], "seq", hour_floor(F.col("job_cmpl_time")))
+    return sorted_rows(ordered.select(*KEYS, "seq", *columns), scope, *UNIT, "seq")

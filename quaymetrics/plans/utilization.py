@@ -6,6 +6,8 @@ envelope: from the first fetch to the last completion, idle gaps included.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from ..functions.timeops import (
 from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval, hours_touched, pieces_with_contained
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, unit_hours
-from ..sources.tables import Scope, Tables, facts, scoped
+from ..sources.tables import Scope, Tables, facts, scoped, sessions, sorted_rows
 
 KEY_DAY = [*KEYS, "day"]
 FRAME = [*UNIT_DAY, "on_time", "off_time"]
@@ -40,20 +42,16 @@ def jobs_of_days(tables: Tables, scope: Scope, first, last, *where) -> DataFrame
     return jobs.withColumn("day", F.to_date("job_cmpl_time"))
 
 
-def sessions(tables: Tables, name: str, scope: Scope, on: str, off: str) -> DataFrame:
-    return scoped(tables, name, scope).select(*UNIT, F.col(on).alias("on_time"), F.col(off).alias("off_time"))
-
-
-def ignitions(tables: Tables, scope: Scope) -> DataFrame:
-    return sessions(tables, "bi_eq_ignition", scope, "ign_on_time", "ign_off_time")
+def ignitions(tables: Tables, scope: Scope, first: date | None = None) -> DataFrame:
+    return sessions(tables, "bi_eq_ignition", scope, first)
 
 
-def logins(tables: Tables, scope: Scope) -> DataFrame:
-    return sessions(tables, "bi_eq_login", scope, "log_in_time", "log_out_time")
+def logins(tables: Tables, scope: Scope, first: date | None = None) -> DataFrame:
+    return sessions(tables, "bi_eq_login", scope, first)
 
 
-def breaks(tables: Tables, scope: Scope) -> DataFrame:
-    return sessions(tables, "bi_eq_breaktime", scope, "brk_start_time", "brk_end_time")
+def breaks(tables: Tables, scope: Scope, first: date | None = None) -> DataFrame:
+    return sessions(tables, "bi_eq_breaktime", scope, first)
 
 
 # Available time
@@ -92,7 +90,7 @@ def avail_by_unit(tables: Tables, day: DayLike, tml_id: str | None = None, eq_ty
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     unit_days = day_spine(_units(tables, scope), first, last)
     rows = unit_days.join(_job_envelopes(tables, scope, first, last), UNIT_DAY, "left")
-    return rows.select(
+    listed = rows.select(
         *UNIT_DAY,
         day_start(F.col("day")).alias("avail_start_time"),
         day_end(F.col("day")).alias("avail_end_time"),
@@ -100,7 +98,8 @@ def avail_by_unit(tables: Tables, day: DayLike, tml_id: str | None = None, eq_ty
         "job_start_time",
         "job_end_time",
         ceil_minutes(elapsed(F.col("job_start_time"), F.col("job_end_time"))).alias("job_performed_min"),
-    ).orderBy(*KEY_DAY, "eq_no")
+    )
+    return sorted_rows(listed, scope, *KEY_DAY, "eq_no")
 
 
 def _work_in_hour(label_start: str, label_end: str, minutes: str):
@@ -122,7 +121,8 @@ def avail_hours(
     rows = day_spine(_units(tables, scope), first, last).join(_job_envelopes(tables, scope, first, last), UNIT_DAY, "left")
     rows = unit_hours(rows.withColumnsRenamed({"job_start_time": "work_start", "job_end_time": "work_end"}))
     work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min")
-    return rows.select(*KEY_DAY, "hour_step", "eq_no", "start_time", "end_time", *work).orderBy(*KEY_DAY, "eq_no", "hour_step")
+    listed = rows.select(*KEY_DAY, "hour_step", "eq_no", "start_time", "end_time", *work)
+    return sorted_rows(listed, scope, *KEY_DAY, "eq_no", "hour_step")
 
 
 # Ignition and login time against work
@@ -139,19 +139,19 @@ def _worked_sessions(tables: Tables, cut: DataFrame, scope: Scope, first, last,
 
 def _session_summary(tables, source, day, as_of, tml_id, eq_type, name: str, clamp_fetch: bool) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
-    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    cut = clamp_to_days(source(tables, scope, first), first, last, as_of, LOOSE)
     rows = _worked_sessions(tables, cut, scope, first, last, clamp_fetch)
     totals = rows.groupBy(*KEY_DAY).agg(
         F.sum(ceil_minutes(span(F.col("on_time"), F.col("off_time")))).alias(name),
         F.sum(ceil_minutes(span(F.col("work_start"), F.col("work_end")))).alias("job_performed_time_min"),
     )
-    return day_spine(key_spine(tables, scope, source(tables, scope)), first, last).join(totals, KEY_DAY, "left")
+    return day_spine(key_spine(tables, scope, cut), first, last).join(totals, KEY_DAY, "left")
 
 
 def _session_list(tables, source, day, as_of, tml_id, eq_type, labels: tuple[str, str, str], minutes) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     on, off, length = labels
-    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    cut = clamp_to_days(source(tables, scope, first), first, last, as_of, LOOSE)
     return _worked_sessions(tables, cut, scope, first, last).select(
         *UNIT_DAY,
         F.col("on_time").alias(on),
@@ -176,7 +176,7 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     A session whose last hour is the clock hour of an unaligned first row does not match that row.
     """
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
-    cut = clamp_to_days(source(tables, scope), first, last, as_of, LOOSE)
+    cut = clamp_to_days(source(tables, scope, first), first, last, as_of, LOOSE)
     worked = _worked_sessions(tables, cut, scope, first, last)
     hours = _span_hours_of(cut).withColumn("_hour", hour_number(F.col("start_time")))
     running = worked.select(
@@ -189,7 +189,7 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     rows = h.join(r, [*same, F.col("r._last_hour") >= F.col("h.start_time")], "left").select("h.*", "work_start", "work_end")
     work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min")
     bounds = [F.col(c).alias(f"{prefix}_{c}") for c in ("start_time", "end_time")]
-    return rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work).orderBy(*KEY_DAY, "eq_no", "hour_seq")
+    return sorted_rows(rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work), scope, *KEY_DAY, "eq_no", "hour_seq")
 
 
 def ignition_summary(
@@ -246,7 +246,7 @@ def login_hours(
 
 
 def _cut_breaks(tables: Tables, scope: Scope, first, last, as_of: TimeLike) -> DataFrame:
-    return clamp_to_days(breaks(tables, scope), first, last, as_of, LOOSE_NOW).select(
+    return clamp_to_days(breaks(tables, scope, first), first, last, as_of, LOOSE_NOW).select(
         *UNIT_DAY, F.col("on_time").alias("in_time"), F.col("off_time").alias("out_time"), F.col("n").alias("n_breaks")
     )
 
@@ -255,15 +255,14 @@ def break_summary(
     tables: Tables, day: DayLike, as_of: TimeLike, tml_id: str | None = None, eq_type: str | None = None
 ) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
-    cut = clamp_to_days(ignitions(tables, scope), first, last, as_of, LOOSE).select(*FRAME)
+    cut = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE).select(*FRAME)
     pieces = pieces_with_contained(cut, _cut_breaks(tables, scope, first, last, as_of))
     per_session = pieces.groupBy(*FRAME).agg(F.min("in_time").alias("first_break"), F.max("out_time").alias("last_break"))
     totals = per_session.groupBy(*KEY_DAY).agg(
         F.sum(round_minutes(span(F.col("on_time"), F.col("off_time")))).alias("ign_time_min"),
         F.sum(round_minutes(span(F.col("first_break"), F.col("last_break")))).alias("brk_end_time_min"),
     )
-    keys = key_spine(tables, scope, ignitions(tables, scope))
-    return day_spine(keys, first, last).join(totals, KEY_DAY, "left")
+    return day_spine(key_spine(tables, scope, cut), first, last).join(totals, KEY_DAY, "left")
 
 
 def break_by_session(
@@ -271,7 +270,7 @@ def break_by_session(
 ) -> DataFrame:
     """One row per ignition session and break inside it; equal sessions or breaks give as many rows as there are."""
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
-    cut = clamp_to_days(ignitions(tables, scope), first, last, as_of, LOOSE)
+    cut = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE)
     pairs = contains_interval(cut, _cut_breaks(tables, scope, first, last, as_of))
     copies = F.col("n") * F.coalesce(F.col("n_breaks"), F.lit(1))
     rows = pairs.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
@@ -295,7 +294,7 @@ def break_hours(
 ) -> DataFrame:
     """Hour rows of the ignition span with the breaks running in each clock hour, in whatever session they fall."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
-    hours = _span_hours_of(clamp_to_days(ignitions(tables, scope), first, last, as_of, LOOSE))
+    hours = _span_hours_of(clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE))
     hours = hours.withColumn("_hour", hour_number(F.col("start_time")))
     found = _cut_breaks(tables, scope, first, last, as_of)
     found = found.withColumn("_hour", F.explode(hours_touched(F.col("in_time"), F.col("out_time"))))

@@ -1,7 +1,11 @@
-"""Declared types (DDL) of the eight tables. JSON columns are text and are parsed where a report needs them."""
+"""Declared types (DDL) of the eight tables. JSON columns may be text or parsed."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 _KEYS = "{0}_tml_id string, {0}_eq_type string, {0}_eq_no string"
 
 
@@ -45,19 +49,27 @@ PREFIX = {
     "bi_oee_tml_value": "bi_ov",
 }
 
-# Time column that the large fact tables are laid out by on disk (see tables.save).
+# The day each row is laid out by on disk (see tables.save): a time column, or for what has a start and an end, both.
 LAYOUT_TIME = {
     "bi_job_hist": "bi_jh_job_cmpl_time",
     "bi_eq_tran": "bi_et_last_job_cmpl_time",
     "bi_eq_travel": "bi_ev_trv_stime",
 }
+LAYOUT_SESSION = {
+    "bi_eq_ignition": ("bi_eg_ign_on_time", "bi_eg_ign_off_time"),
+    "bi_eq_login": ("bi_el_log_in_time", "bi_el_log_out_time"),
+    "bi_eq_breaktime": ("bi_eb_brk_start_time", "bi_eb_brk_end_time"),
+}
 LAYOUT_DAY = "layout_day"
 
+# Numbers in JSON have no declared scale: wide enough that reading them does not round before the reports do.
+JSON_NUMBER = "decimal(38,18)"
+
 # JSON field and type behind each step column.
 STEP_FIELDS = {
-    "interval_sec": ("intervalSec", "decimal(20,6)"),
+    "interval_sec": ("intervalSec", JSON_NUMBER),
     "activity_type": ("activityType", "string"),
-    "step_dist": ("trvDistance", "decimal(20,6)"),
+    "step_dist": ("trvDistance", JSON_NUMBER),
     "laden_status": ("ladenStatus", "string"),
 }
 
@@ -68,8 +80,20 @@ def step_json(*columns: str) -> str:
     return f"array<struct<{fields}>>"
 
 
-LEG_JSON = (
-    "array<struct<fromStep:string,toStep:string,etaDistance:decimal(20,6),ataDistance:decimal(20,6),"
-    "etaTimeSec:decimal(20,6),ataTimeSec:decimal(20,6)>>"
-)
+LEG_NUMBERS = ("etaDistance", "ataDistance", "etaTimeSec", "ataTimeSec")
+LEG_JSON = f"array<struct<fromStep:string,toStep:string,{','.join(f'{n}:{JSON_NUMBER}' for n in LEG_NUMBERS)}>>"
 CONTAINER_JSON = "struct<cntrIso:string>"
+
+# JSON columns that save() stores parsed. Reports take text as well.
+PARSED = {
+    "bi_job_hist": {
+        "bi_jh_job_cycle_step": step_json(*STEP_FIELDS), "bi_jh_trv_with_eta": LEG_JSON, "bi_jh_cntr_attr": CONTAINER_JSON,
+    },
+    "bi_eq_tran": {"bi_et_event_step": step_json(*STEP_FIELDS)},
+}
+
+
+def parsed(df: DataFrame, column: str, kind: str) -> Column:
+    """A JSON column of that type: text is parsed, what is stored parsed is taken as it is."""
+    text = isinstance(df.schema[column].dataType, StringType)
+    return F.from_json(F.col(column), kind) if text else F.col(column)

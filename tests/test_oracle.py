@@ -9,7 +9,8 @@ from conftest import SF
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry._QUERIES}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in entry._QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -340,3 +340,15 @@ def test_work_is_read_by_day_with_its_gap(make):
     assert late > END
     got = rows(u.avail_by_unit(tables, (DAY, "2024-01-11"), **ONE), "day", "job_end_time")
     assert got == [(date(2024, 1, 10), None), (date(2024, 1, 11), datetime(2024, 1, 11, 1))]
+
+
+# digits beyond the sixth
+
+
+def test_json_numbers_are_rounded_once(make):
+    tables = make(bi_job_hist=[
+        job("08:10", "08:00", job_cycle_step='[{"intervalSec":12.4999999,"trvDistance":12.4999999,"ladenStatus":"L"},{"intervalSec":1.25e1,"trvDistance":2.5,"ladenStatus":"L"}]', cntr_no="C"),
+    ])
+    range_ = "2024-01-10 00:00:00", "2024-01-10 23:59:59"
+    assert rows(x.laden_rows(tables, *range_, **ONE), "laden_dist") == [(15,)]
+    assert rows(x.cycle_time_by_job(tables, *range_, **ONE), "total_time") == [(25,)]

@@ -1,4 +1,4 @@
-"""Plans, hot keys, many keys at once, storage layout."""
+"""Plans, numbering, many keys at once, storage layout."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from conftest import plan_of, rows, t
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quaymetrics.operators import intervals, seq
-from quaymetrics.operators.hot import flag_hot, hot_keys
-from quaymetrics.operators.seq import numbered, range_numbered
+from quaymetrics.operators.seq import numbered
 from quaymetrics.plans import execution as x
 from quaymetrics.plans import oee, productivity
 from quaymetrics.plans import utilization as u
@@ -91,53 +89,49 @@ def test_sums_by_unit_equal_the_sum_of_the_window(derived):
     assert sum(r.n for r in by_unit.collect()) == in_window
 
 
-# hot keys
+# numbering
 
 
-def test_hot_keys_are_found_and_flagged(spark):
-    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [(None,)] * 6, "k string")
-    assert hot_keys(df, ["k"], 4) == [(None,), ("a",)]
-    flagged = flag_hot(df, ["k"], [("a",)], "hot")
-    assert sorted(rows(flagged.groupBy("hot").count())) == [(False, 8), (True, 5)]
-
-
-def test_range_numbering_equals_the_window(spark):
+def test_numbering_by_buckets_equals_the_window(spark):
     made = spark.range(20_000, numPartitions=5).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("u"), (F.col("id") % 50).cast("string"))).alias("k"),
-        (F.col("id") * 7919 % 997).alias("a"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 997).alias("a"),
         F.col("id").alias("b"),
     )
     plain = numbered(made, ["k"], ["a", "b"], "seq")
-    split = range_numbered(made, ["k"], ["a", "b"], "seq")
+    split = numbered(made, ["k"], ["a", "b"], "seq", F.floor(F.col("a") / 100))
     assert sorted(map(str, rows(plain, "k", "a", "b", "seq"))) == sorted(map(str, rows(split, "k", "a", "b", "seq")))
-    hot = plan_of(numbered(made, ["k"], ["a", "b"], "seq", limit=5_000))
-    assert "RDDScan" in hot or "Scan ExistingRDD" in hot
 
 
-def test_range_numbering_of_the_whole_table(spark):
-    made = spark.range(5_000, numPartitions=4).select((F.col("id") * 7919 % 5_003).alias("a"))
-    got = range_numbered(made, [], ["a"], "seq")
-    assert [r[0] for r in rows(got.orderBy("a"), "seq")] == list(range(1, 5_001))
+def test_building_a_report_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        for name, build in entry._QUERIES.items():
+            build(entry.derive(spark, "/root/testdata/sf0.001"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # reading Parquet schemas may start a job; a derived table asks for one each time
+    assert len(jobs) <= len(entry._QUERIES)
 
 
-def test_reports_do_not_change_when_units_are_hot(derived, monkeypatch):
+def test_only_narrow_calls_are_sorted_as_a_whole(derived):
     days = ("2024-01-10", "2024-01-13")
-    reports = [
-        lambda: u.ignition_by_session(derived, days, AS_OF),
-        lambda: oee.oee_crane(derived, days, AS_OF),
-        lambda: x.laden_rows(derived, START, END),
+    wide = [
+        productivity.productivity_jobs(derived, START, END), x.travel_with_job_by_unit(derived, START, END),
+        x.travel_with_job_rows(derived, START, END), u.avail_by_unit(derived, days), u.avail_hours(derived, days),
+        u.ignition_hours(derived, days, AS_OF), u.login_hours(derived, days, AS_OF),
     ]
-    before = [sorted(map(str, rows(r()))) for r in reports]
-    for limit in (0, 25):  # all units hot, then some
-        monkeypatch.setattr(intervals.aggregate_inside, "__defaults__", ((), None, limit))
-        monkeypatch.setattr(seq.numbered, "__defaults__", (None, limit))
-        assert [sorted(map(str, rows(r()))) for r in reports] == before
+    assert not any("rangepartitioning" in plan_of(df) for df in wide)
+    hours = u.avail_hours(derived, days, UNIT)
+    got = rows(hours, "tml_id", "eq_type", "day", "eq_no", "hour_step")
+    assert "rangepartitioning" in plan_of(hours) and got == sorted(got)
 
 
 # plans
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n != "global_seq"])
+@pytest.mark.parametrize("name", list(entry._QUERIES))
 def test_plans_have_no_nested_loops_single_partitions_or_python(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to send around
     try:
@@ -163,6 +157,12 @@ def test_filters_and_columns_reach_the_scan(spark, derived, tmp_path):
 # storage
 
 
+def _partition_filters(df) -> list[str]:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().explainString(mode))
+    return re.findall(r"PartitionFilters: \[(.*)\]", plan)
+
+
 def _stored(spark, derived: Tables, tmp_path) -> Tables:
     root = str(tmp_path / "tables")
     save(derived, root)
@@ -194,11 +194,38 @@ def test_load_checks_count_what_reports_would_lose(make):
         "trv_with_eta is not a JSON array": 1,
         "event_step is not a JSON array": 1,
         "travel ends before it starts": 1,
+        "job_cycle_step has what is no number": 0,
+        "trv_with_eta has what is no number": 0,
+        "event_step has what is no number": 0,
     }
 
 
+def test_load_checks_count_fields_that_are_no_numbers(make):
+    steps = ['[{"intervalSec":"abc"}]', '[{"trvDistance":1},{"intervalSec":1e30}]', '[{"intervalSec":12.5}]', "[{}]"]
+    found = dict(rows(load_checks(make(bi_job_hist=[{"job_cycle_step": s} for s in steps], bi_eq_tran=[{"event_step": '[{"trvDistance":"x"}]'}]))))
+    assert found["job_cycle_step has what is no number"] == 2 and found["event_step has what is no number"] == 1
+
+
 def test_the_other_terminal_of_a_fact_only_key_still_gets_its_hours(make):
     tables = make(bi_eq=[{}], bi_job_hist=[{"tml_id": "T7", "job_cmpl_time": t("08:10"), "job_id": "J"}])
     got = x.execution_hourly(tables, "2024-01-10 10:30:00")
     assert got.where("tml_id = 'T7'").count() == 6
     assert got.agg(F.sum("total_count")).first()[0] == 1
+
+
+def test_stored_tables_are_parsed_and_pruned_on_both_sides(spark, derived, tmp_path):
+    stored = _stored(spark, derived, tmp_path)
+    for build in (
+        lambda tb: x.laden_rows(tb, START, END), lambda tb: x.travel_eff_legs(tb), lambda tb: oee.oee_crane(tb, DAY, AS_OF),
+        lambda tb: x.laden_by_unit(tb, START, END), lambda tb: productivity.productivity_by_unit(tb, START, END),
+    ):
+        assert "from_json" not in plan_of(build(stored)) and "from_json" in plan_of(build(derived))
+    (trip,) = {f for f in _partition_filters(x.fuel_by_unit(stored, START, END, "T1", "YT")) if "bi_ev_tml_id" in f}
+    assert "layout_day" in trip and ">= 2024-01-12" in trip and "<= 2024-01-12" in trip
+    for report, prefix in ((u.ignition_by_session, "bi_eg"), (u.login_by_session, "bi_el"), (u.break_by_session, "bi_eb")):
+        filters = [f for f in _partition_filters(report(stored, DAY, AS_OF)) if f"{prefix}_tml_id" in f]
+        assert filters and all("layout_day" in f and ">= 2024-01-12" in f for f in filters)
+    for report in DAY_REPORTS:
+        _same(report(derived, DAY, AS_OF), report(stored, DAY, AS_OF))
+    for build in (lambda tb: x.travel_with_job_by_unit(tb, START, END), lambda tb: x.travel_eff_by_job(tb, START, END)):
+        _same(build(derived), build(stored))

@@ -141,8 +141,7 @@ def test_container_length_classes(spark):
 POINT = "tml_id string, eq_type string, eq_no string, day date, at timestamp_ntz, lo bigint, hi bigint, amount bigint"
 
 
-@pytest.mark.parametrize("limit", [0, 150, 10**9])
-def test_aggregates_inside_equal_brute_force_by_blocks_and_by_hour(spark, limit):
+def test_aggregates_inside_equal_brute_force(spark):
     import random
 
     rng = random.Random(7)
@@ -156,7 +155,7 @@ def test_aggregates_inside_equal_brute_force_by_blocks_and_by_hour(spark, limit)
     cuts |= {("T1", "YT", "E1", DAY, START, END), ("T1", "YT", "E1", DAY, t("10:00"), t("09:00")), ("T1", "YT", "E3", DAY, START, END)}
     p = spark.createDataFrame(points, POINT)
     s = spark.createDataFrame(sorted(cuts), "tml_id string, eq_type string, eq_no string, day date, on_time timestamp_ntz, off_time timestamp_ntz")
-    got = aggregate_inside(s, p, "at", {"a": ("min", "lo"), "b": ("max", "hi"), "c": ("sum", "amount")}, hot_limit=limit)
+    got = aggregate_inside(s, p, "at", {"a": ("min", "lo"), "b": ("max", "hi"), "c": ("sum", "amount")})
     expected = {}
     for cut in cuts:
         inside = [x for x in points if x[2] == cut[2] and cut[4] <= x[4] <= cut[5]]
@@ -179,3 +178,25 @@ def test_contained_intervals_keep_lonely_and_reversed_outer_rows(spark):
         [(t("08:00"), t("08:00"), t("09:10")), (t("08:00"), t("11:00"), t("12:00")), (t("13:00"), None, None), (t("16:00"), None, None)],
         key=str,
     )
+
+
+PIECE = "tml_id string, eq_type string, eq_no string, day date, on_time timestamp_ntz, off_time timestamp_ntz"
+
+
+def test_containment_equals_its_condition_for_reversed_pieces_too(spark):
+    import random
+
+    rng = random.Random(11)
+    moment = lambda: START + timedelta(minutes=rng.choice([1, 15, 60]) * rng.randrange(24))
+    pieces = lambda n: sorted({("T1", "YT", rng.choice(["E1", "E2"]), DAY, moment(), moment()) for _ in range(n)})
+    outer, inner = pieces(60), pieces(60)
+    early = ("T1", "YT", "E1", DAY, t("10:00"), START - timedelta(days=40))  # open, and as_of lies weeks before
+    inner.append(early)
+    o = spark.createDataFrame(outer, PIECE)
+    i = spark.createDataFrame(inner, PIECE).withColumnsRenamed({"on_time": "in_time", "off_time": "out_time"})
+    expected = []
+    for a in outer:
+        found = [b for b in inner if b[2] == a[2] and a[4] <= b[4] and a[5] >= b[5]]
+        expected += [(*a[2:], b[4], b[5]) for b in found] or [(*a[2:], None, None)]
+    got = rows(contains_interval(o, i), "eq_no", "day", "on_time", "off_time", "in_time", "out_time")
+    assert sorted(got, key=str) == sorted(expected, key=str)
