@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import BLANKS, words
+from quaymetrics.llm.common import BLANKS, stage, words
 
 BUCKETS = 1 << 16
 K = 0.5
@@ -40,10 +40,11 @@ def _grams(rows: DataFrame, keys: list[str]) -> DataFrame:
     spread = hashed.select(*keys, "endings", n.alias("n"), F.explode_outer(slots).alias("slot"))
     single = F.col("slot") < F.col("n")
     at = F.col("slot") - F.col("n")
-    pair = F.xxhash64(F.col("endings")[at], F.col("endings")[at + 1])
+    pair = F.xxhash64(F.get("endings", at), F.get("endings", at + 1))
     # single endings and pairs fall into buckets by independent hashes
-    gram = F.when(single, F.xxhash64(F.lit(1), F.col("endings")[F.col("slot")])).otherwise(pair)
-    return spread.select(*keys, gram.bitwiseAND(BUCKETS - 1).cast("int").alias("bucket"))
+    gram = F.when(single, F.xxhash64(F.lit(1), F.get("endings", F.col("slot")))).otherwise(pair)
+    bucket = F.when(F.col("n") > 0, gram.bitwiseAND(BUCKETS - 1).cast("int"))
+    return spread.select(*keys, bucket.alias("bucket"))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -56,9 +57,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, weight (fixed-point): trusted has at most TRUSTED doc_ids."""
     marked = F.broadcast(trusted.withColumn("t", F.lit(1)))
     rows = docs.join(marked, "doc_id", "left").select(F.coalesce("t", F.lit(0)).alias("t"), words(F.col("text")).alias("words"))
-    counts = (
-        _grams(rows, ["t"]).where("bucket is not null").groupBy("bucket")
-        .agg(F.count("*").alias("r"), F.sum("t").alias("t"))
+    counts = stage(
+        _grams(rows, ["t"]).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("r"), F.sum("t").alias("t")),
+        "buckets",
     )
     share = counts.agg((F.sum("t") / F.sum("r")).alias("s")).first()["s"] or 0.0
     weight = F.log(F.col("t") + K) - F.log(F.col("r") * share + K)
