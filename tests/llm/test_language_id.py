@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+from conftest import SF
+
+from quaymetrics.llm import language_id as li
+
+
+def test_held_out_texts_are_named_right(spark):
+    folder = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    out = li.language_report(docs).collect()
+    assert len(out) == len(lang)
+    held = [r for r in out if r["held_out"]]
+    assert 200 < len(held) < 500 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_held_out_rows_and_other_columns_teach_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = li.remainder(docs["doc_id"], 3) == 1
+    before = sorted(map(str, li.language_report(docs).collect()))
+    wrong = docs.withColumn("lang", li.F.when(held, li.F.lit("xx")).otherwise(docs["lang"])).withColumn("source", li.F.lit("other"))
+    assert sorted(map(str, li.language_report(wrong).collect())) == before
+
+
+def small_model():
+    texts = {"en": "the cat and the dog with that thing ", "ru": "это кошка и собака с этим ", "de": "die katze und der hund mit dem ding "}
+    grams = np.zeros((3, 1 << li.BUCKET_BITS))
+    scripts = np.zeros((3, len(li.SCRIPTS) + 1), bool)
+    for k, name in enumerate(sorted(texts)):
+        data, _, counts = li._words([texts[name]])
+        scripts[k] = counts.sum(axis=0) > 0
+        for buckets, _ in li._grams_in_words(data):
+            grams[k] += np.bincount(buckets, minlength=1 << li.BUCKET_BITS)
+    smooth = grams + li.SMOOTHING
+    return li.LanguageModel(sorted(texts), np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32), scripts)
+
+
+def test_spans_of_mixed_texts_and_scripts():
+    model = small_model()
+    langs, scores, spans = li.label_texts(model, ["the dog and the cat die katze und der hund mit", "кошка и собака", "日本語", "123 ...", None, "", "the"])
+    assert [[(s["lang"], s["first"], s["words"]) for s in one] for one in spans[:2]] == [[("en", 0, 5), ("de", 5, 6)], [("ru", 0, 3)]]
+    assert langs[0] == "de" and 0.5 < scores[0] < 0.7 and langs[1] == "ru" and scores[1] == 1.0
+    assert langs[2] in model.names and langs[3:6] == [li.UND] * 3 and scores[3:6] == [0.0] * 3 and langs[6] == "en"
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    rng = np.random.default_rng(2)
+    for sizes in ([4, 1, 3], [5], [2, 2, 6, 1]):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        scores = rng.normal(0, 5, (sum(sizes), 3)).astype(np.float32)
+        label = li.viterbi(scores, owner, len(sizes))
+        cost = lambda s, path: sum(s[k, p] for k, p in enumerate(path)) - li.SWITCH * sum(a != b for a, b in itertools.pairwise(path))
+        for t, n in enumerate(sizes):
+            own, got = scores[owner == t], label[owner == t]
+            best = max(cost(own, p) for p in itertools.product(range(3), repeat=n))
+            assert abs(cost(own, got.tolist()) - best) < 1e-3
+
+
+def test_edge_rows(spark, make_docs):
+    rows = [(1, None), (2, ""), (3, "12 !"), (4, "the cat"), (4, "the cat"), (None, "the dog"), (5, "x" * 100_000), (6, "a " * 50_000)]
+    docs = make_docs(rows)
+    out = li.language_report(docs).collect()
+    assert len(out) == len(rows) and {r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3)} == {"und"}
+    kept = li.keep_identified(docs, small_model())
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "4", "5", "6", "None"]
+    labelled = li.label_languages(docs, small_model())
+    assert labelled.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score", "spans"]
+    assert li.language_report(docs.limit(0)).collect() == []
+    nobody = li.language_report(docs.withColumn("lang", li.F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in nobody} == {"und"}
+
+
+def test_long_and_short_texts_in_one_batch_agree_with_one_by_one():
+    model, rng = small_model(), random.Random(4)
+    texts = [" ".join(rng.choice(["the", "hund", "und", "cat", "5"]) for _ in range(n)) for n in (1, 50, 3, 2000, 7)]
+    assert li.label_texts(model, texts) == tuple(map(list, zip(*[(a[0], b[0], c[0]) for a, b, c in (li.label_texts(model, [t]) for t in texts)], strict=True)))

@@ -29,7 +29,7 @@ def brute(rows):
         gone = sorted(p for p in covered.get(LAST_ID if i is None else i, ()) if p < len(data))
         spans = sum(k == 0 or gone[k - 1] != p - 1 for k, p in enumerate(gone))
         rest = bytes(b for p, b in enumerate(data) if p not in set(gone))
-        kept.append((i, len(data), len(gone), spans, hashlib.sha256(rest).hexdigest()))
+        kept.append((LAST_ID if i is None else i, len(data), len(gone), spans, hashlib.sha256(rest).hexdigest()))
     return sorted(kept, key=str)
 
 
