@@ -317,10 +317,18 @@ def _reports_productivity() -> dict[str, str]:
     }
 
 
+def _reached(minutes: str) -> str:
+    return f"""CASE WHEN st >= date_trunc('hour', js) AND et < je THEN {_ceil("abs(" + _us("js", "et") + ")")}
+             WHEN st >= date_trunc('hour', js) AND je BETWEEN st AND et THEN {_ceil("abs(" + _us("js", "je") + ")")} END AS {minutes}"""
+
+
+def _in_hour(minutes: str) -> str:
+    return f"""CASE WHEN js <= et AND je >= st AND js <= je THEN {_ceil(_us("greatest(js, st)", "least(je, et)"))} END AS {minutes}"""
+
+
 def _work_columns(start: str, end: str, minutes: str) -> str:
     return f"""{_time("CASE WHEN js BETWEEN st AND et THEN js END", start)}, {_time("CASE WHEN je BETWEEN st AND et THEN je END", end)},
-        CASE WHEN st >= date_trunc('hour', js) AND et < je THEN {_ceil("abs(" + _us("js", "et") + ")")}
-             WHEN st >= date_trunc('hour', js) AND je BETWEEN st AND et THEN {_ceil("abs(" + _us("js", "je") + ")")} END AS {minutes}"""
+        {_reached(minutes)}"""
 
 
 def _reports_utilization() -> dict[str, str]:
@@ -493,8 +501,26 @@ def _operators() -> dict[str, str]:
     }
 
 
+# Reports asked for at a moment inside the data: sessions still open then end before they start on later days.
+OPEN_AS_OF = "2024-01-12 09:30:00"
+OPEN = (
+    "oee_vehicle", "oee_crane", "oee_tree", "ignition_by_session", "login_hours", "break_summary", "break_by_session",
+    "session_contains_session",
+)
+# Hour lists that show the minutes of each hour, and their column.
+PER_HOUR = {
+    "avail_hours": "job_performed_time_min", "ignition_hours": "job_performed_time_min",
+    "login_hours": "job_performed_time_min", "break_hours": "brk_time_min",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     bodies = (
         _reports_oee() | _reports_productivity() | _reports_execution() | _reports_utilization() | _config() | _operators()
     )
-    return {name: _sql(body) for name, body in bodies.items()}
+    statements = {name: _sql(body) for name, body in bodies.items()}
+    for name in OPEN:
+        statements[f"{name}_open"] = statements[name].replace(_t(AS_OF), _t(OPEN_AS_OF))
+    for name, minutes in PER_HOUR.items():
+        statements[f"{name}_per_hour"] = statements[name].replace(_reached(minutes), _in_hour(minutes))
+    return statements

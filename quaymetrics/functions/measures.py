@@ -23,8 +23,15 @@ def within(t: Column, start: Column, end: Column) -> Column:
     return F.when(t.between(start, end), t)
 
 
-def running_minutes(work_start: Column, work_end: Column, start: Column, end: Column) -> Column:
-    """Minutes of work reached by the end of an hour bucket, counted from the work's own start."""
+def running_minutes(work_start: Column, work_end: Column, start: Column, end: Column, per_hour: bool = False) -> Column:
+    """Minutes of work reached by the end of an hour bucket, counted from the work's own start.
+
+    With per_hour they are counted from the start of the bucket or of the work, whichever is later.
+    """
+    if per_hour:
+        begun, ended = F.greatest(work_start, start), F.least(work_end, end)
+        known = work_start.isNotNull() & work_end.isNotNull()
+        return F.when(known & (begun <= ended), ceil_minutes(span(begun, ended)))
     started = start >= hour_floor(work_start)
     return F.when(started & (end < work_end), ceil_minutes(span(work_start, end))).when(
         started & work_end.between(start, end), ceil_minutes(span(work_start, work_end))

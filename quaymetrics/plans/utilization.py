@@ -102,25 +102,31 @@ def avail_by_unit(tables: Tables, day: DayLike, tml_id: str | None = None, eq_ty
     return sorted_rows(listed, scope, *KEY_DAY, "eq_no")
 
 
-def _work_in_hour(label_start: str, label_end: str, minutes: str):
+def _work_in_hour(label_start: str, label_end: str, minutes: str, per_hour: bool):
     """Work columns of an hour row with bounds start_time, end_time and an envelope work_start, work_end."""
     bounds = F.col("start_time"), F.col("end_time")
     work = F.col("work_start"), F.col("work_end")
     return [
         within(work[0], *bounds).alias(label_start),
         within(work[1], *bounds).alias(label_end),
-        running_minutes(*work, *bounds).alias(minutes),
+        running_minutes(*work, *bounds, per_hour).alias(minutes),
     ]
 
 
 def avail_hours(
-    tables: Tables, day: DayLike, eq_no: str | None = None, tml_id: str | None = None, eq_type: str | None = None
+    tables: Tables,
+    day: DayLike,
+    eq_no: str | None = None,
+    tml_id: str | None = None,
+    eq_type: str | None = None,
+    per_hour: bool = False,
 ) -> DataFrame:
+    """Minutes are counted from the start of work; with per_hour each hour shows its own (so in the other hour lists)."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
     # joined per day and only then spread over the hours, so the join sees one row per unit and day
     rows = day_spine(_units(tables, scope), first, last).join(_job_envelopes(tables, scope, first, last), UNIT_DAY, "left")
     rows = unit_hours(rows.withColumnsRenamed({"job_start_time": "work_start", "job_end_time": "work_end"}))
-    work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min")
+    work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min", per_hour)
     listed = rows.select(*KEY_DAY, "hour_step", "eq_no", "start_time", "end_time", *work)
     return sorted_rows(listed, scope, *KEY_DAY, "eq_no", "hour_step")
 
@@ -170,7 +176,7 @@ def _span_hours_of(cut: DataFrame) -> DataFrame:
     return span_hours(spans, gap, F.col("first_on"), F.col("last_off")).select(*UNIT_DAY, "hour_seq", "start_time", "end_time")
 
 
-def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: str) -> DataFrame:
+def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: str, per_hour: bool) -> DataFrame:
     """Hour rows with the sessions running in each hour; an hour may match several sessions.
 
     A session whose last hour is the clock hour of an unaligned first row does not match that row.
@@ -187,7 +193,7 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     h, r = hours.alias("h"), running.alias("r")
     same = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in (*UNIT_DAY, "_hour")]
     rows = h.join(r, [*same, F.col("r._last_hour") >= F.col("h.start_time")], "left").select("h.*", "work_start", "work_end")
-    work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min")
+    work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min", per_hour)
     bounds = [F.col(c).alias(f"{prefix}_{c}") for c in ("start_time", "end_time")]
     return sorted_rows(rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work), scope, *KEY_DAY, "eq_no", "hour_seq")
 
@@ -213,8 +219,9 @@ def ignition_hours(
     eq_no: str | None = None,
     tml_id: str | None = None,
     eq_type: str | None = None,
+    per_hour: bool = False,
 ) -> DataFrame:
-    return _session_hours(tables, ignitions, day, eq_no, as_of, tml_id, eq_type, "ign")
+    return _session_hours(tables, ignitions, day, eq_no, as_of, tml_id, eq_type, "ign", per_hour)
 
 
 def login_summary(
@@ -238,8 +245,9 @@ def login_hours(
     eq_no: str | None = None,
     tml_id: str | None = None,
     eq_type: str | None = None,
+    per_hour: bool = False,
 ) -> DataFrame:
-    return _session_hours(tables, logins, day, eq_no, as_of, tml_id, eq_type, "log")
+    return _session_hours(tables, logins, day, eq_no, as_of, tml_id, eq_type, "log", per_hour)
 
 
 # Breaks
@@ -291,6 +299,7 @@ def break_hours(
     eq_no: str | None = None,
     tml_id: str | None = None,
     eq_type: str | None = None,
+    per_hour: bool = False,
 ) -> DataFrame:
     """Hour rows of the ignition span with the breaks running in each clock hour, in whatever session they fall."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
@@ -302,6 +311,6 @@ def break_hours(
     copies = F.coalesce(F.col("n_breaks"), F.lit(1))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     rows = rows.withColumnsRenamed({"in_time": "work_start", "out_time": "work_end"})
-    work = _work_in_hour("brk_start_time", "brk_end_time", "brk_time_min")
+    work = _work_in_hour("brk_start_time", "brk_end_time", "brk_time_min", per_hour)
     bounds = [F.col(c).alias(f"ign_{c}") for c in ("start_time", "end_time")]
     return rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work)
