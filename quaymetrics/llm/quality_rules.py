@@ -1,7 +1,6 @@
 """Quality rules: plain counts first, then a log-likelihood ratio of hashed n-grams between trusted texts and the corpus.
 
-The n-grams are the endings (last two characters) of words, and pairs of endings of neighbours, hashed into `BUCKETS`
-buckets. Two multinomials over the buckets are estimated: the corpus's from all documents, the target's from trusted ones.
+The n-grams are the words, all their characters, and the pairs of neighbouring words, hashed into `BUCKETS` buckets. Two multinomials over the buckets are estimated: the corpus's from all documents, the target's from trusted ones.
 Both are smoothed in proportion, so that a bucket's weight is log((t + K) / (s r + K)), t and r being its counts and s the
 target's share of all n-grams: little evidence gives a weight near zero. A text's score is the mean weight of its n-grams;
 it is kept from `THRESHOLD` on. Weights are fixed-point numbers, so that sums and verdicts don't depend on the order of rows.
@@ -34,15 +33,15 @@ SYMBOLS = r"[#*$%&|<>]"
 
 def _grams(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and bucket: one row an n-gram of the words; one row with a null bucket where there are no words."""
-    n = F.size("endings")
-    hashed = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(F.substring(w, -2, 2))).alias("endings"))
+    n = F.size("hashes")
+    hashed = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     slots = F.when(n > 0, F.sequence(F.lit(0), 2 * n - 2))
-    spread = hashed.select(*keys, "endings", n.alias("n"), F.explode_outer(slots).alias("slot"))
+    spread = hashed.select(*keys, "hashes", n.alias("n"), F.explode_outer(slots).alias("slot"))
     single = F.col("slot") < F.col("n")
     at = F.col("slot") - F.col("n")
-    pair = F.xxhash64(F.get("endings", at), F.get("endings", at + 1))
-    # single endings and pairs fall into buckets by independent hashes
-    gram = F.when(single, F.xxhash64(F.lit(1), F.get("endings", F.col("slot")))).otherwise(pair)
+    pair = F.xxhash64(F.get("hashes", at), F.get("hashes", at + 1))
+    # single words and pairs fall into buckets by independent hashes
+    gram = F.when(single, F.xxhash64(F.lit(1), F.get("hashes", F.col("slot")))).otherwise(pair)
     bucket = F.when(F.col("n") > 0, gram.bitwiseAND(BUCKETS - 1).cast("int"))
     return spread.select(*keys, bucket.alias("bucket"))
 

@@ -93,3 +93,38 @@ def test_without_labels_the_plain_rules_decide(spark, make_docs):
     out = q.quality_rules(make_docs(cases()), none).collect()
     assert all(r["kept"] != r["base_failed"] and r["score"] == 0 for r in out)
     assert q.quality_rules(make_docs([(1, "x")]).limit(0), none).collect() == []
+
+
+def test_words_that_differ_only_before_their_endings_are_told_apart(spark, make_docs):
+    """Half of the texts have the trusted ones' word endings on other stems; half of those with the trusted words are labelled."""
+    rng = random.Random(7)
+    endings = ["ing", "est", "ous", "ion", "ard"]
+    rows = [(i, " ".join(("stem" if i < 40 else "$$$") + rng.choice(endings) for _ in range(200))) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in q.quality_rules(make_docs(rows), labels).collect()}
+    assert all(out[i]["score"] > 0 for i in range(40))
+    assert all(out[i]["score"] < q.THRESHOLD for i in range(40, 80))
+
+
+def test_scores_are_those_of_whole_words_and_their_pairs(spark, make_docs):
+    rows = [r for r in cases() if r[0] not in (104, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+
+    def buckets(text):
+        raw = [xxhash.xxh64_intdigest(w.encode(), 42).to_bytes(8, "little") for w in WORD.findall(text or "")]
+        one = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+        single = [xxhash.xxh64_intdigest(r, one) for r in raw]
+        pairs = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(raw, raw[1:], strict=False)]
+        return [h & (q.BUCKETS - 1) for h in single + pairs]
+
+    corpus, target = Counter(), Counter()
+    for i, t in rows:
+        corpus.update(buckets(t))
+        if i < 20:
+            target.update(buckets(t))
+    share = sum(target.values()) / sum(corpus.values())
+    weight = {b: math.log(target[b] + q.K) - math.log(corpus[b] * share + q.K) for b in corpus}
+    texts = dict(rows)
+    for r in q.quality_rules(make_docs(rows), labels).collect():
+        b = buckets(texts[r["doc_id"]])
+        assert abs(sum(weight[x] for x in b) / max(len(b), 1) - r["score"]) < 1e-5
