@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -26,10 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    `by` names a column that has a folder for each of its values.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,7 +41,7 @@ def unstage(df: DataFrame) -> None:
     """Delete a table of stage() that nothing will read again."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+    for folder in {re.sub(r"(/[^/=]+=[^/]*)?/[^/]*$", "", file) for file in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 

@@ -96,3 +96,66 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<turn:>' || {_ROLE} || {_TEXT} || '</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+    SELECT lang, k, ws[i:i + k - 1] AS gram
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, gram, count(*) AS n FROM grams GROUP BY lang, k, gram),
+sizes AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cuts AS (
+    SELECT c.lang, c.gram, c.n AS a, cut, l.n AS l, r.n AS r,
+           CAST(1000000 AS HUGEINT) * c.n * c.n // (CAST(l.n AS HUGEINT) * r.n) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND n >= 10) c
+    JOIN f l ON l.lang = c.lang AND l.gram = c.gram[1:cut] JOIN f r ON r.lang = c.lang AND r.gram = c.gram[cut + 1:c.k]),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) AS place FROM cuts),
+longer AS (
+    SELECT lang, gram[i:i + 1] AS gram, max(n) AS n FROM (SELECT *, unnest([1, 2]) AS i FROM f WHERE k = 3 AND n >= 10)
+    GROUP BY 1, 2),
+left_over AS (
+    SELECT w.* FROM weakest w LEFT JOIN longer b ON b.lang = w.lang AND b.gram = w.gram
+    WHERE place = 1 AND (b.n IS NULL OR 100 * b.n < 50 * a)),
+ranked AS (
+    SELECT *, array_to_string(gram, ' ') AS phrase,
+           row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(gram, ' '))) AS rank
+    FROM left_over)
+SELECT lang, rank, phrase, a, l, r, s.n AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes s USING (lang) WHERE rank <= 2000
+"""
+
+
+def _draw(k: int) -> str:
+    return f"CAST('0x' || substring(digest, {8 * k + 1}, 8) AS UBIGINT)"
+
+
+FILL_IN_MIDDLE = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+drawn AS (
+    SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, {_draw(0)} % (length(text) + 1) AS p, {_draw(1)} % (length(text) + 1) AS q,
+           text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_draw(2)} % 100 >= 90 AS plain,
+           {_draw(3)} % 100 < 20 AS spm
+    FROM texts),
+cut AS (SELECT *, CAST(least(p, q) AS BIGINT) AS a, CAST(greatest(p, q) AS BIGINT) AS b FROM drawn),
+parts AS (
+    SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+EXACT_DEDUP = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY text)
+"""

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from quaymetrics.llm import oracle
 from quaymetrics.llm.chat import chat_report
+from quaymetrics.llm.collocations import collocations
 from quaymetrics.llm.decontaminate import contamination
+from quaymetrics.llm.exact_dedup import equal_texts
+from quaymetrics.llm.fill_in_middle import fim_report
 from quaymetrics.llm.language_id import language_report
 from quaymetrics.llm.line_dedup import line_report
 from quaymetrics.llm.lm_score import lm_scores
@@ -50,6 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": lambda s, d: lm_scores(table(s, d, "documents"), remainder("doc_id", 7) == 2, VOCABULARY),
     "op9_mixing": lambda s, d: mix_report(table(s, d, "documents")),
     "op10_quality_classifier": lambda s, d: quality_report(table(s, d, "documents"), table(s, d, "labels")),
+    "op11_collocations": lambda s, d: collocations(table(s, d, "documents")),
+    "op12_fill_in_middle": lambda s, d: fim_report(table(s, d, "documents")),
+    "op13_exact_dedup": lambda s, d: equal_texts(table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -57,4 +63,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": oracle.CHAT_FORMAT,
     "op5_decontamination": oracle.DECONTAMINATION,
     "op6_line_dedup": oracle.LINE_DEDUP,
+    "op11_collocations": oracle.COLLOCATIONS,
+    "op12_fill_in_middle": oracle.FILL_IN_MIDDLE,
+    "op13_exact_dedup": oracle.EXACT_DEDUP,
 }
