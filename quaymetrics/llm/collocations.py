@@ -13,10 +13,8 @@ scan at which the first of its phrases reached `least`. It is all that tasks are
 with the data. Two phrases in a slot make a longer one be counted that did not have to be: never too late, and never for
 less than one round. Such phrases fall out by their counts.
 
-A scan's counts, block by block, are written to the shared folder. To see which phrases have reached `least`, only their
-64-bit hashes are shuffled and added up from scan to scan, until they get there or have seen every shard; equal hashes would
-make a longer phrase begin too early, which does no harm. Phrases themselves are shuffled once, at the end, and of them only
-those in slots that were reached.
+A scan adds its counts, summed in each task before the shuffle, to the running ones, which are written to the shared folder;
+phrases that have seen every shard and stayed below `least` are left out from then on.
 
 Defined cases: a null text is empty; a null language counts as `und`; rows equal in all columns count one by one; texts and
 pieces may be of any length, as they are counted in blocks; other columns don't matter; an empty table gives no phrase.
@@ -25,13 +23,12 @@ pieces may be of any length, as they are counted in blocks; other columns don't
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,7 +38,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has so many of 100 of its occurrences.
 INSIDE = 50
 SCALE = 1_000_000
-SHARDS = 4
+SHARDS = 3
 SLOT_BITS = 22
 #: Bytes of text that a task counts at a time.
 BLOCK = 4 << 20
@@ -54,7 +51,8 @@ _KIND[list(_BLANKS)], _KIND[list(_ENDS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_COUNTS = "size int, lang string, phrase string, key long, start int, n long"
+#: A language, a tab and words make one text, and size, slot and first scan one number: what is shuffled most is kept narrow.
+_COUNTS = "phrase string, tag long, n long"
 
 
 def segments(text: bytes, limit: int, longest: int) -> Iterator[tuple[bytes, int]]:
@@ -119,6 +117,7 @@ def count_block(
     lang = of_text[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, "right")]
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)[codes]
     seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
+    named = pa.array([x.encode() for x in names], pa.binary())
     n_words, shift = len(words), np.uint64(64 - (len(starts[0]).bit_length() - 1) if starts else 0)
     fresh = np.arange(len(codes)) >= again
     whole = np.ones(len(codes), bool)  # a phrase of this length ends here
@@ -126,21 +125,20 @@ def count_block(
     mixed = (hashes ^ seeds[lang]) * _STEP
     ids = lang * n_words + codes
     for size in range(1, len(starts) + 2):
-        key = mixed * _SPREAD
+        slot = ((mixed * _SPREAD) >> shift).astype(np.int64) if size <= len(starts) else np.zeros(len(codes), np.int64)
         chosen = np.flatnonzero(whole & fresh & (start <= scan) & (scan < start + shards))
         if len(chosen):
             _, first, n = np.unique(ids[chosen], return_index=True, return_counts=True)
             at = chosen[first]
             parts = [words.take(pa.array(codes[at - k])) for k in range(size - 1, -1, -1)]
-            phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
-            columns = [
-                pa.array(np.full(len(at), size, np.int32)), pa.array(names[lang[at]].tolist(), pa.string()),
-                phrase.cast(pa.string()), pa.array(key[at].view(np.int64)), pa.array(start[at].astype(np.int32)), pa.array(n),
-            ]
+            phrase = pc.binary_join_element_wise(named.take(pa.array(lang[at])), parts[0], b"\t")
+            phrase = pc.binary_join_element_wise(phrase, *parts[1:], b" ")
+            tag = size << 48 | slot[at] << 8 | start[at]
+            columns = [phrase.cast(pa.string()), pa.array(tag), pa.array(n)]
             yield pa.record_batch(columns, [c.split()[0] for c in _COUNTS.split(", ")])
         if size > len(starts) or starts[size - 1].min() == _NEVER:
             return
-        begun = starts[size - 1][(key >> shift).astype(np.int64)].astype(np.int64)  # the scan from which longer phrases may hold this one
+        begun = starts[size - 1][slot].astype(np.int64)  # the scan from which longer phrases may hold this one
         begun[~whole] = _NEVER
         if ids.max() >= (1 << 62) // max(n_words, 1):
             ids = np.unique(ids, return_inverse=True)[1]
@@ -162,15 +160,12 @@ def _scanning(scan: int, starts, shards: int, longest: int, block: int):
     return scanned
 
 
-def _slot(bits: int) -> Column:
-    return F.shiftrightunsigned("key", 64 - bits)
-
-
-def _enter(reached: DataFrame, tables: list[np.ndarray], scan: int, slot_bits: int) -> None:
-    """Enter the slots of phrases that have reached their number. At most a row for 64 slots reaches the driver."""
-    slots = reached.select("size", _slot(slot_bits).alias("slot"))
+def _began(totals: DataFrame, least: int, tables: list[np.ndarray], scan: int) -> None:
+    """Enter into the tables the slots of phrases that have reached `least`. At most a row for 64 slots reaches the driver."""
+    slot = F.expr("shiftright(tag, 8) & 1099511627775L")
+    reached = totals.where(F.col("n") >= least).select(_size().alias("size"), slot.alias("slot")).where(F.col("size") <= len(tables))
     bit = F.expr("shiftleft(1L, cast(slot % 64 AS int))")
-    words = slots.groupBy("size", F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = reached.groupBy("size", F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
     for size, rows in words.toPandas().groupby("size"):
         bits = np.zeros(len(tables[size - 1]) // 64, np.int64)
         bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
@@ -178,52 +173,47 @@ def _enter(reached: DataFrame, tables: list[np.ndarray], scan: int, slot_bits: i
         tables[size - 1][met & (tables[size - 1] == _NEVER)] = scan + 1
 
 
-def _reached(spark: SparkSession, tables: list[np.ndarray]) -> DataFrame:
-    """size, word, bits: the slots that have been entered, 64 in a row."""
-    packed = [np.packbits(t != _NEVER, bitorder="little").view(np.int64) for t in tables]
-    rows = [(size, int(word), int(bits[word])) for size, bits in enumerate(packed, 1) for word in np.flatnonzero(bits)]
-    return spark.createDataFrame(rows, "size int, word long, bits long")
+def _size() -> Column:
+    return F.shiftright("tag", 48).cast("int")
+
+
+def _parted(totals: DataFrame) -> DataFrame:
+    """size, lang, phrase, n. Words hold no tab."""
+    words = F.substring_index("phrase", "\t", -1)
+    lang = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\t', -1)) - 1)")
+    return totals.select(_size().alias("size"), lang.alias("lang"), words.alias("phrase"), "n")
 
 
 def phrase_counts(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """size, lang, phrase, n of all phrases of up to `longest` words met `least` times, and lang, n of all its words."""
-    if longest < 2 or shards < 1 or longest * shards >= _NEVER or slot_bits < 6:
-        raise ValueError("longest must be 2 or more, its product with shards below 255, and slot_bits at least 6")
+    if longest < 1 or shards < 1 or longest * shards >= _NEVER or not 6 <= slot_bits <= 40:
+        raise ValueError("longest and shards must be positive, their product below 255, and slot_bits from 6 to 40")
     ship(__name__)
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
     lang = F.coalesce("lang", F.lit(UNKNOWN)).alias("lang")
     dealt = stage(docs.where(F.length("text") > 0).select(lang, "text", shard), "collocation-shards", by="shard")
     tables = [np.full(1 << slot_bits, _NEVER, np.uint8) for _ in range(longest - 1)]
-    met: list[DataFrame] = []
-    pending, added, scan = None, None, 0
+    totals, sizes, scan = None, None, 0
     while scan < shards or any(np.any((t < _NEVER) & (t.astype(int) + shards > scan)) for t in tables):
-        known = spark.sparkContext.broadcast(tables)
+        known = context.broadcast(tables)
         rows = dealt.where(F.col("shard") == scan % shards).select("lang", "text")
-        met.append(stage(rows.mapInArrow(_scanning(scan, known, shards, longest, block), _COUNTS), f"collocation-scan-{scan}"))
-        known.destroy()
-        short = met[-1].where(F.col("size") < longest).select("size", "key", "start", "n")
-        short = short if pending is None else short.unionByName(pending)
-        before, added = added, stage(short.groupBy("size", "key", "start").agg(F.sum("n").alias("n")), f"collocation-pending-{scan}")
+        met = rows.mapInArrow(_scanning(scan, known, shards, longest, block), _COUNTS)
+        if totals is not None:
+            met = met.unionByName(totals.where((F.col("n") >= least) | (F.expr("tag & 255L") + shards > scan)))
+        added = met.groupBy("phrase").agg(F.max("tag").alias("tag"), F.sum("n").alias("n"))
+        before, totals = totals, stage(added, f"collocation-counts-{scan}")
         if before is not None:
             unstage(before)
-        _enter(added.where(F.col("n") >= least), tables, scan, slot_bits)
+        known.destroy()
+        if scan == shards - 1:
+            sizes = stage(_parted(totals.where(_size() == 1)).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-sizes")
+        _began(totals, least, tables, scan)
         scan += 1
-        pending = added.where((F.col("n") < least) & (F.col("start") + shards > scan))
-    for done in (dealt, added):
-        unstage(done)
-    every = reduce(DataFrame.unionByName, met)
-    sizes = every.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = F.broadcast(_reached(spark, tables))  # one row for 64 slots of each length at most
-    found = every.withColumn("slot", _slot(slot_bits)).withColumn("word", F.expr("slot div 64")).join(words, ["size", "word"], "left")
-    entered = F.expr("bits is not null and (shiftright(bits, cast(slot % 64 AS int)) & 1L) = 1")
-    counts = found.where(entered | (F.col("size") == longest)).groupBy("size", "lang", "phrase").agg(F.sum("n").alias("n"))
-    results = stage(counts.where(F.col("n") >= least), "collocation-counts"), stage(sizes, "collocation-sizes")
-    for done in met:
-        unstage(done)
-    return results
+    unstage(dealt)
+    return _parted(totals.where(F.col("n") >= least)), sizes
 
 
 def _words_of(first: Column, last: Column) -> Column:
