@@ -38,7 +38,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has so many of 100 of its occurrences.
 INSIDE = 50
 SCALE = 1_000_000
-SHARDS = 3
+SHARDS = 2
 SLOT_BITS = 22
 #: Bytes of text that a task counts at a time.
 BLOCK = 4 << 20
