@@ -1,23 +1,17 @@
-"""Joins of intervals with points and with other intervals of the same unit and day.
+"""Joins of intervals with other intervals of the same unit and day, where the pairs are wanted.
 
-Every join carries the hour (or minute) in its equality key, so a unit's rows are spread over the hours of its days and
-only rows that share one are compared.
+Every join carries the hour in its equality key, so a unit's rows are spread over the hours of its days and only rows that
+share one are compared. What needs no pairs is in `sweeps`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timeops import HOUR, MINUTE, ceil_to, day_start, floor_to, hour_number, micros
-from .spine import UNIT
-
-UNIT_DAY = [*UNIT, "day"]
-
-_AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}
+from ..functions.timeops import day_start, hour_number
+from .sweeps import FRAME, UNIT_DAY
 
 
 def hours_touched(start: Column, end: Column) -> Column:
@@ -42,16 +36,11 @@ def _inner_pieces(inner: DataFrame) -> DataFrame:
     return inner.withColumn("_hour", F.explode(F.when(backwards, F.sequence(low, high)).otherwise(F.array(high))))
 
 
-def pieces_with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Outer intervals (on_time, off_time) with the inner ones (in_time, out_time) such that on <= in and off >= out.
+def _matches(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs of an outer and an inner interval such that on <= in and off >= out; each comes once.
 
-    Both carry tml_id, eq_type, eq_no, day; either may be reversed. Each match comes once. Besides, an outer interval has
-    a row without a match for each of its hours in which none begins: meant to be aggregated per outer interval.
+    An inner join: where many intervals share an hour, adaptive execution may split either side.
     """
-    return _with_contained(outer, inner).drop("_hour")
-
-
-def _with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     o, i = _outer_pieces(outer).alias("o"), _inner_pieces(inner).alias("i")
     on, off, hour = F.col("o.on_time"), F.col("o.off_time"), F.col("o._hour")
     in_, out = F.col("i.in_time"), F.col("i.out_time")
@@ -59,93 +48,22 @@ def _with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     # two spread intervals share several hours: they meet in the first one
     once = (in_ <= out) | (on > off) | (hour == F.greatest(hour_number(on), hour_number(out)))
     extra = [F.col(f"i.{c}") for c in inner.columns if c not in UNIT_DAY]
-    return o.join(i, [*same, on <= in_, off >= out, once], "left").select("o.*", *extra)
+    return o.join(i, [*same, on <= in_, off >= out, once]).select(*[F.col(f"o.{c}") for c in outer.columns], *extra)
+
+
+def pieces_with_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Outer intervals (on_time, off_time) with the inner ones (in_time, out_time) such that on <= in and off >= out.
+
+    Both carry tml_id, eq_type, eq_no, day; either may be reversed. Each match comes once, and besides each outer interval
+    has one row without a match: meant to be aggregated per outer interval.
+    """
+    return _matches(outer, inner).unionByName(outer, allowMissingColumns=True)
 
 
 def contains_interval(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Left join of outer intervals with the inner ones lying wholly inside, one row per match.
 
-    An interval without a match keeps the row of its first hour.
-    """
-    frame = W.partitionBy(*UNIT_DAY, "on_time", "off_time")
-    matched = F.col("in_time").isNotNull()
-    rows = (
-        _with_contained(outer, inner)
-        .withColumn("_matches", F.count("in_time").over(frame))
-        .withColumn("_first", F.min("_hour").over(frame))
-    )
-    alone = (F.col("_matches") == 0) & F.col("_hour").eqNullSafe(F.col("_first"))
-    return rows.where(matched | alone).drop("_hour", "_matches", "_first")
-
-
-def aggregate_inside(
-    intervals: DataFrame,
-    points: DataFrame,
-    at: str,
-    aggregates: dict[str, tuple[str, str]],
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """For each distinct interval [on_time, off_time], aggregates over the points of its unit and day inside it.
-
-    `aggregates` maps an output name to (min | max | sum, point column), each column used once.
-    Intervals without points get NULLs; `keep` names interval columns to carry along.
-
-    Points are aggregated per instant, minute and hour before the join. An interval looks up the whole hours that it
-    fills, the whole minutes before and after them, and only in its first and last minute the instants.
+    An interval without a match keeps a row.
     """
-    frame = [*UNIT_DAY, "on_time", "off_time"]
-    functions = {column: fn for fn, column in aggregates.values()}
-    if len(functions) < len(aggregates):
-        raise ValueError("each point column can be aggregated once")
-    block = [*UNIT_DAY, "_size", "_start"]
-    rows = intervals.select(*frame, *keep, F.explode_outer(_blocks_inside()).alias("_block"))
-    rows = rows.select(*frame, *keep, F.col("_block.size").alias("_size"), F.col("_block.start").alias("_start"))
-    i, p = rows.alias("i"), _blocks(points, at, functions).alias("p")
-    same = [F.col(f"i.{c}") == F.col(f"p.{c}") for c in block]
-    inside = F.col("p._at").isNull() | F.col("p._at").between(F.col("i.on_time"), F.col("i.off_time"))
-    found = i.join(p, [*same, inside], "left").select("i.*", *[F.col(f"p._{c}") for c in functions])
-    carried = [F.max(c).alias(c) for c in keep]
-    results = [_AGGREGATES[fn](f"_{column}").alias(name) for name, (fn, column) in aggregates.items()]
-    return found.groupBy(*frame).agg(*carried, *results)
-
-
-def _block(size: int, start: Column) -> Column:
-    return F.struct(F.lit(size).cast("bigint").alias("size"), start.alias("start"))
-
-
-def _blocks(points: DataFrame, at: str, functions: dict[str, str]) -> DataFrame:
-    """Aggregates per unit, day and block: size 0 is an instant (_at), keyed by its minute."""
-    us = micros(F.col("_at"))
-    minute, hour = floor_to(us, MINUTE), floor_to(us, HOUR)
-    kinds = F.explode(F.array(_block(0, minute), _block(MINUTE, minute), _block(HOUR, hour)))
-    values = [F.col(c).alias(f"_{c}") for c in functions]
-    spread = points.select(*UNIT_DAY, F.col(at).alias("_at"), *values).withColumn("_block", kinds)
-    instant = F.when(F.col("_block.size") == 0, F.col("_at")).alias("_at")
-    keys = [*UNIT_DAY, F.col("_block.size").alias("_size"), F.col("_block.start").alias("_start"), instant]
-    return spread.groupBy(*keys).agg(*[_AGGREGATES[fn](f"_{c}").alias(f"_{c}") for c, fn in functions.items()])
-
-
-def _blocks_inside() -> Column:
-    """The blocks that an interval fills, and the minutes (as size 0) that it fills in part."""
-    start, stop = micros(F.col("on_time")), micros(F.col("off_time")) + 1
-
-    def run(size: int, low: Column, high: Column) -> Column:
-        step = F.lit(size).cast("bigint")
-        filled = F.transform(F.sequence(low, high - step, step), lambda x: _block(size, x))
-        return F.when(low < high, filled).otherwise(F.array().cast("array<struct<size:bigint,start:bigint>>"))
-
-    low, high = ceil_to(start, MINUTE), floor_to(stop, MINUTE)
-    hour_low, hour_high = ceil_to(start, HOUR), floor_to(stop, HOUR)
-    has_hours = hour_low < hour_high
-    edges = F.array_compact(F.array(
-        F.when(F.pmod(start, F.lit(MINUTE)) != 0, floor_to(start, MINUTE)),
-        F.when(F.pmod(stop, F.lit(MINUTE)) != 0, floor_to(stop, MINUTE)),
-    ))
-    return F.concat(
-        run(MINUTE, low, F.when(has_hours, hour_low).otherwise(high)),
-        run(HOUR, hour_low, hour_high),
-        run(MINUTE, F.when(has_hours, hour_high).otherwise(high), high),
-        F.when(start < stop, F.transform(F.array_distinct(edges), lambda x: _block(0, x))).otherwise(
-            F.array().cast("array<struct<size:bigint,start:bigint>>")
-        ),
-    )
+    rows = pieces_with_contained(outer, inner).withColumn("_matches", F.count("in_time").over(W.partitionBy(*FRAME)))
+    return rows.where(F.col("in_time").isNotNull() | (F.col("_matches") == 0)).drop("_matches")

@@ -13,23 +13,40 @@ def _order(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
-def numbered(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, bucket: Column | None = None
-) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, *buckets: Column) -> DataFrame:
     """Add `name`: 1, 2, ... within each group by `order`, NULLs first. Rows equal in all of `order` may swap.
 
-    `bucket` splits a group over many tasks. It must rise with the leading column of `order`, never falling along it,
-    NULL first. Rows are numbered per group and bucket, then raised by the rows that the group has in earlier buckets.
-    Without it a group is one task's: for groups that cannot be large.
+    `buckets` split a group over many tasks, from coarse to fine. Each must rise with the leading column of `order`, never
+    falling along it, NULL first. Rows are numbered per group and finest bucket, then raised by the rows that the group has
+    in earlier buckets: a running count over the buckets within the next coarser one, and so on. Without buckets a group is
+    one task's: for groups that cannot be large.
     """
-    if bucket is None:
+    if not buckets:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*_order(order))).cast("bigint"))
-    keys = [*group, "_bucket"]
-    rows = df.withColumn("_bucket", bucket)
-    earlier = W.partitionBy(*group).orderBy(*_order(["_bucket"])).rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(earlier))
-    r, o = rows.alias("r"), sizes.alias("o")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in keys]
-    local = F.row_number().over(W.partitionBy(*[F.col(f"r.{c}") for c in keys]).orderBy(*_order([f"r.{c}" for c in order])))
-    number = (local + F.coalesce(F.col("o._before"), F.lit(0))).cast("bigint").alias(name)
-    return r.join(o, same, "left").select(*[F.col(f"r.{c}") for c in df.columns], number)
+    # a struct is never NULL, and NULLs in two of them are equal: one key for the window and the join
+    levels = [f"_b{k}" for k in range(len(buckets))]
+    key = F.struct(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], *[b.alias(n) for b, n in zip(buckets, levels)])
+    bucket = W.partitionBy("_key")
+    rows = df.withColumn("_key", key).withColumns({
+        "_local": F.row_number().over(bucket.orderBy(*_order(order))), "_size": F.count("*").over(bucket),
+    })
+    # One row a bucket goes on. The second condition always holds: it asks for every column, so that both uses of the rows
+    # read the same shuffle.
+    first = rows.where((F.col("_local") == 1) & (F.xxhash64(*df.columns) % 2 < 2))
+    sizes = first.select("_key", "_size", "_key.*")
+    before = _before(sizes, [f"_g{k}" for k in range(len(group))], levels)
+    number = (F.col("_local") + F.col("_before")).cast("bigint").alias(name)
+    return rows.join(before, "_key").select(*df.columns, number)
+
+
+def _before(sizes: DataFrame, group: list[str], levels: list[str]) -> DataFrame:
+    """_key and how many rows the group has in earlier buckets."""
+    *coarser, finest = [*group, *levels]
+    earlier = W.partitionBy(*coarser).orderBy(F.col(finest).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    counted = sizes.withColumn("_earlier", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    if len(levels) == 1:
+        return counted.select("_key", F.col("_earlier").alias("_before"))
+    inside = counted.withColumn("_outer", F.struct(*coarser))
+    outer = inside.groupBy("_outer").agg(F.sum("_size").alias("_size")).select(F.col("_outer").alias("_key"), "_size", "_outer.*")
+    further = _before(outer, group, levels[:-1]).withColumnsRenamed({"_key": "_outer", "_before": "_further"})
+    return inside.join(further, "_outer").select("_key", (F.col("_earlier") + F.col("_further")).alias("_before"))

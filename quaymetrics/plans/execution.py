@@ -289,10 +289,12 @@ def fuel_rows(
 ) -> DataFrame:
     """Jobs that look alike in these columns merge, and their fuel is shown once."""
     group = ["eq_no", "cntr_no", "job_type", "fuel", "user_id"]  # eq_no is the unit's own: cntr_no leads the order
+    # by leading characters (owner and first digits of a container), so that no count runs over all containers of a unit
+    buckets = [F.substring("cntr_no", 1, n) for n in (6, 9)]
     scope, dist = Scope(tml_id, eq_type, eq_no), F.sum(whole(F.col("step_dist"))).alias("trv_dist")
     rows = _job_rows(tables, scope, start, end, group, ["step_dist"], dist)
     out = ["eq_no", "cntr_no", "job_type", "trv_dist", "fuel", "user_id"]
-    return numbered(rows, UNIT, group[1:], "r_seq", F.col("cntr_no")).select(*KEYS, "r_seq", *out)
+    return numbered(rows, UNIT, group[1:], "r_seq", *buckets, F.col("cntr_no")).select(*KEYS, "r_seq", *out)
 
 
 # Work with and without a job

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import DayLike, TimeLike, ceil_minutes, day_range, elapsed, round_minutes
-from ..operators.intervals import UNIT_DAY, aggregate_inside, pieces_with_contained
+from ..operators.intervals import pieces_with_contained
 from ..operators.sessions import STRICT, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, key_spine
 from ..operators.steps import sum_of
+from ..operators.sweeps import UNIT_DAY, aggregate_inside
 from ..sources.config import SETTINGS, pivot_config
 from ..sources.schema import parsed, step_json
 from ..sources.tables import Scope, Tables, scoped

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import running_minutes, within
@@ -26,13 +26,13 @@ from ..functions.timeops import (
     round_minutes,
     span,
 )
-from ..operators.intervals import UNIT_DAY, aggregate_inside, contains_interval, hours_touched, pieces_with_contained
+from ..operators.intervals import contains_interval, hours_touched
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
 from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, unit_hours
+from ..operators.sweeps import FRAME, UNIT_DAY, aggregate_inside, envelope_inside
 from ..sources.tables import Scope, Tables, facts, scoped, sessions, sorted_rows
 
 KEY_DAY = [*KEYS, "day"]
-FRAME = [*UNIT_DAY, "on_time", "off_time"]
 
 
 def jobs_of_days(tables: Tables, scope: Scope, first, last, *where) -> DataFrame:
@@ -139,8 +139,9 @@ def _worked_sessions(tables: Tables, cut: DataFrame, scope: Scope, first, last,
     fetch = F.col("job_fetching_time")
     fetch = F.greatest(fetch, day_start(F.col("day"))) if clamp_fetch else fetch
     jobs = jobs_of_days(tables, scope, first, last).select(*UNIT_DAY, fetch.alias("fetch"), "job_cmpl_time")
-    jobs = jobs.withColumn("done", F.col("job_cmpl_time"))
-    return aggregate_inside(cut, jobs, "job_cmpl_time", {"work_start": ("min", "fetch"), "work_end": ("max", "done")})
+    return aggregate_inside(
+        cut, jobs, "job_cmpl_time", {"work_start": ("min", "fetch"), "work_end": ("max", "job_cmpl_time")}
+    )
 
 
 def _session_summary(tables, source, day, as_of, tml_id, eq_type, name: str, clamp_fetch: bool) -> DataFrame:
@@ -176,6 +177,29 @@ def _span_hours_of(cut: DataFrame) -> DataFrame:
     return span_hours(spans, gap, F.col("first_on"), F.col("last_off")).select(*UNIT_DAY, "hour_seq", "start_time", "end_time")
 
 
+def _running_in_hours(
+    hours: DataFrame, spans: DataFrame, alike: DataFrame, start: str, end: str, also: list[Column]
+) -> DataFrame:
+    """Left join of hour rows (start_time) with the spans (from column `start` to `end`) that touch their clock hour.
+
+    The matches are an inner join, so that adaptive execution may split either side of a crowded hour. Hours without a match
+    are found by sums per unit and hour over `alike`, which has the spans' bounds and what the conditions `also` need.
+    """
+    keys = [*UNIT_DAY, "_hour"]
+    hours = hours.withColumn("_hour", hour_number(F.col("start_time")))
+
+    def touched(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hour", F.explode(hours_touched(F.col(start), F.col(end))))
+
+    h, r = hours.alias("h"), touched(spans).alias("r")
+    same = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in keys]
+    extra = [F.col(f"r.{c}") for c in spans.columns if c not in UNIT_DAY]
+    matches = h.join(r, [*same, *also]).select("h.*", *extra)
+    last = [F.max("_last_hour").alias("_last_hour")] if also else [F.lit(True).alias("_any")]
+    busy = touched(alike).groupBy(*keys).agg(*last).alias("r")
+    return matches.unionByName(h.join(busy, [*same, *also], "left_anti"), allowMissingColumns=True)
+
+
 def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: str, per_hour: bool) -> DataFrame:
     """Hour rows with the sessions running in each hour; an hour may match several sessions.
 
@@ -184,15 +208,11 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
     cut = clamp_to_days(source(tables, scope, first), first, last, as_of, LOOSE)
     worked = _worked_sessions(tables, cut, scope, first, last)
-    hours = _span_hours_of(cut).withColumn("_hour", hour_number(F.col("start_time")))
-    running = worked.select(
-        *UNIT_DAY, hour_floor(F.col("off_time")).alias("_last_hour"), "work_start", "work_end",
-        F.explode(hours_touched(F.col("on_time"), F.col("off_time"))).alias("_hour"),
+    running = worked.select(*FRAME, hour_floor(F.col("off_time")).alias("_last_hour"), "work_start", "work_end")
+    last_hours = cut.select(*FRAME, hour_floor(F.col("off_time")).alias("_last_hour"))
+    rows = _running_in_hours(
+        _span_hours_of(cut), running, last_hours, "on_time", "off_time", [F.col("r._last_hour") >= F.col("h.start_time")]
     )
-    # hour and unit in the equality key; the residual goes into the join condition so that unmatched hours stay
-    h, r = hours.alias("h"), running.alias("r")
-    same = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in (*UNIT_DAY, "_hour")]
-    rows = h.join(r, [*same, F.col("r._last_hour") >= F.col("h.start_time")], "left").select("h.*", "work_start", "work_end")
     work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min", per_hour)
     bounds = [F.col(c).alias(f"{prefix}_{c}") for c in ("start_time", "end_time")]
     return sorted_rows(rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work), scope, *KEY_DAY, "eq_no", "hour_seq")
@@ -264,11 +284,10 @@ def break_summary(
 ) -> DataFrame:
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
     cut = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE).select(*FRAME)
-    pieces = pieces_with_contained(cut, _cut_breaks(tables, scope, first, last, as_of))
-    per_session = pieces.groupBy(*FRAME).agg(F.min("in_time").alias("first_break"), F.max("out_time").alias("last_break"))
+    per_session = envelope_inside(cut, _cut_breaks(tables, scope, first, last, as_of))
     totals = per_session.groupBy(*KEY_DAY).agg(
         F.sum(round_minutes(span(F.col("on_time"), F.col("off_time")))).alias("ign_time_min"),
-        F.sum(round_minutes(span(F.col("first_break"), F.col("last_break")))).alias("brk_end_time_min"),
+        F.sum(round_minutes(span(F.col("first_in"), F.col("last_out")))).alias("brk_end_time_min"),
     )
     return day_spine(key_spine(tables, scope, cut), first, last).join(totals, KEY_DAY, "left")
 
@@ -304,10 +323,8 @@ def break_hours(
     """Hour rows of the ignition span with the breaks running in each clock hour, in whatever session they fall."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
     hours = _span_hours_of(clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE))
-    hours = hours.withColumn("_hour", hour_number(F.col("start_time")))
     found = _cut_breaks(tables, scope, first, last, as_of)
-    found = found.withColumn("_hour", F.explode(hours_touched(F.col("in_time"), F.col("out_time"))))
-    rows = hours.join(found, [*UNIT_DAY, "_hour"], "left")
+    rows = _running_in_hours(hours, found, found, "in_time", "out_time", [])
     copies = F.coalesce(F.col("n_breaks"), F.lit(1))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     rows = rows.withColumnsRenamed({"in_time": "work_start", "out_time": "work_end"})

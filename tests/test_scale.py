@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from datetime import timedelta
 
 import pytest
 from conftest import plan_of, rows, t
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -99,8 +101,61 @@ def test_numbering_by_buckets_equals_the_window(spark):
         F.col("id").alias("b"),
     )
     plain = numbered(made, ["k"], ["a", "b"], "seq")
-    split = numbered(made, ["k"], ["a", "b"], "seq", F.floor(F.col("a") / 100))
-    assert sorted(map(str, rows(plain, "k", "a", "b", "seq"))) == sorted(map(str, rows(split, "k", "a", "b", "seq")))
+    expected = sorted(map(str, rows(plain, "k", "a", "b", "seq")))
+    for buckets in ([100], [500, 100, 10], [997, 1]):
+        split = numbered(made, ["k"], ["a", "b"], "seq", *[F.floor(F.col("a") / n) for n in buckets])
+        assert sorted(map(str, rows(split, "k", "a", "b", "seq"))) == expected
+
+
+def test_texts_are_numbered_by_their_leading_characters(spark):
+    made = spark.range(30_000, numPartitions=4).select(
+        F.lit("E1").alias("k"), F.when(F.col("id") % 97 != 0, F.concat(F.lit("ABCU"), (F.col("id") * 7919 % 30_000).cast("string"))).alias("c"), "id"
+    )
+    split = numbered(made, ["k"], ["c", "id"], "seq", *[F.substring("c", 1, n) for n in (6, 9)], F.col("c"))
+    plain = made.withColumn("seq", F.row_number().over(W.orderBy(F.asc_nulls_first("c"), "id")))
+    assert split.exceptAll(plain.select(*split.columns)).isEmpty() and split.count() == 30_000
+    # the running counts are over few rows each: no window orders a unit's containers
+    windows = re.findall(r"Window \[sum[^\n]*\], \[([^\]]*)\], \[", re.sub(r"#\d+L?", "", plan_of(split)))
+    assert sorted(w.count(",") for w in windows) == [0, 1, 2]
+
+
+def test_a_crowded_hour_is_dealt_to_several_tasks(spark, make):
+    """A unit with thousands of breaks and sessions in one hour: joins that may split both sides, and the rows of plain loops."""
+    n = 3000
+    crowd = [{"on": t("08:00") + timedelta(seconds=k), "off": t("08:59") + timedelta(milliseconds=k)} for k in range(n)]
+    tables = make(
+        bi_eq=[{}],
+        bi_eq_ignition=[{"ign_on_time": "08:00", "ign_off_time": "09:30"}, {"ign_on_time": "10:00", "ign_off_time": "11:00"}],
+        bi_eq_breaktime=[{"brk_start_time": c["on"], "brk_end_time": c["off"]} for c in crowd],
+    )
+    pairs = [r for r in u.break_by_session(tables, "2024-01-10", "2024-01-10 18:00:00").collect() if r.brk_start_time]
+    assert len(pairs) == n and {r.ign_on_time for r in pairs} == {t("08:00")}
+    hours = u.break_hours(tables, "2024-01-10", "2024-01-10 18:00:00")
+    assert hours.count() == n + 2  # 09 and 10 o'clock have no break
+    plans = [plan_of(u.break_hours(tables, "2024-01-10", AS_OF)), plan_of(u.break_by_session(tables, "2024-01-10", AS_OF))]
+    assert all("Inner" in p and "LeftOuter" not in p for p in plans)
+
+
+def test_envelopes_of_breaks_need_no_pairs(derived):
+    plan = plan_of(u.break_summary(derived, ("2024-01-10", "2024-01-13"), AS_OF))
+    assert "in_time" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("report", [oee.oee_vehicle, oee.oee_crane, u.ignition_summary, u.login_by_session, u.break_by_session, u.break_summary], ids=_id)
+def test_sessions_are_read_once(spark, derived, tmp_path, report):
+    df = report(_stored(spark, derived, tmp_path), ("2024-01-10", "2024-01-13"), AS_OF)
+    df._jdf.collectToPython()
+    final = plan_of(df).split("Initial Plan")[0]
+    read = re.findall(r"FileScan parquet \[bi_(eg|el|eb)", final)
+    assert read and len(read) == len(set(read))
+
+
+@pytest.mark.parametrize("report", [x.travel_with_job_rows, x.laden_rows, x.fuel_rows, x.execution_rows, productivity.productivity_jobs], ids=_id)
+def test_lists_read_the_jobs_once(spark, derived, tmp_path, report):
+    df = report(_stored(spark, derived, tmp_path), START, END)
+    df._jdf.collectToPython()
+    final = plan_of(df).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
 def test_building_a_report_starts_no_job(spark):

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quaymetrics.functions.measures import container_length, whole
 from quaymetrics.functions.timeops import ceil_hours, ceil_minutes, hour_number, round_minutes
-from quaymetrics.operators.intervals import aggregate_inside, contains_interval
+from quaymetrics.operators.intervals import contains_interval
 from quaymetrics.operators.sessions import LOOSE, LOOSE_NOW, STRICT, clamp_to_days, overlaps_day_loose, overlaps_day_strict
 from quaymetrics.operators.spine import hour_spine, in_bucket, span_hours
+from quaymetrics.operators.sweeps import aggregate_inside
 
 DAY = date(2024, 1, 10)
 START = datetime(2024, 1, 10)
