@@ -115,6 +115,7 @@ def count_block(
     joins = np.diff(np.cumsum(kinds == 2)[begins], prepend=-1) == 0  # the word follows the one before it in its piece
     names, of_text = np.unique(np.array(langs, object).astype(str), return_inverse=True)
     lang = of_text[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, "right")]
+    del data, kinds, inside, edges, begins, ends, offsets, buffers
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)[codes]
     seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)
     named = pa.array([x.encode() for x in names], pa.binary())
@@ -153,9 +154,11 @@ def count_block(
 def _scanning(scan: int, starts, shards: int, longest: int, block: int):
     def scanned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            for some in blocks(part.column("lang").to_pylist(), texts, block, longest):
-                yield from count_block(*some, scan, starts.value, shards)
+            for at in range(0, part.num_rows, 1000):
+                rows = part.slice(at, 1000)
+                texts = rows.column("text").cast(pa.binary()).to_pylist()
+                for some in blocks(rows.column("lang").to_pylist(), texts, block, longest):
+                    yield from count_block(*some, scan, starts.value, shards)
 
     return scanned
 
