@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import row_key, same_row, stage, unstage, words
+from quaymetrics.llm.common import stage, unstage, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -140,12 +140,17 @@ def _cell_copies(cells: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Per row of docs: id, digest (of the text), size, source_size, target and copies, the times the mix takes it."""
+def mix(
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row of docs: id, digest (of the text), size, source_size, target and copies, the times the mix takes it.
+
+    `carry` names columns of docs to pass on; of rows equal in id and text they decide which one comes first.
+    """
     sized = stage(
         docs.select(
             F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("source").cast("string").alias("source"),
-            F.size(words(F.col("text"))).cast("long").alias("size"),
+            F.size(words(F.col("text"))).cast("long").alias("size"), *carry,
         ),
         "mix-sizes",
     )
@@ -160,13 +165,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     cell = parts["source"].eqNullSafe(shared["source"]) & (parts["size"] == shared["size"])
     parts = parts.join(shared, cell).select(parts["source"], parts["size"], "part", "earlier", "n", "copies", "source_size", "target")
     same = placed["source"].eqNullSafe(parts["source"]) & (placed["size"] == parts["size"]) & (placed["part"] == parts["part"])
-    within = Window.partitionBy("source", "size", "part").orderBy("spread", "id")
+    within = Window.partitionBy("source", "size", "part").orderBy("spread", "id", *carry)
     at = F.col("earlier") + F.row_number().over(within) - 1
     upto = lambda k: F.floor(k.cast("double") * F.col("copies") / F.col("n"))
     return (
         placed.join(parts, same).drop(parts["source"], parts["size"], parts["part"])
         .withColumn("at", at)
-        .select("id", "digest", "size", "source_size", "target", (upto(F.col("at") + 1) - upto(F.col("at"))).alias("copies"))
+        .select("id", "digest", *carry, "size", "source_size", "target", (upto(F.col("at") + 1) - upto(F.col("at"))).alias("copies"))
     )
 
 
@@ -179,10 +184,10 @@ def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs as often as the mix takes them, with copy (1, 2, ...), in place of a column of that name.
 
-    Rows equal in doc_id and text all get the copies of the one taken most.
+    Rows are told apart by a number that they are staged with, so that rows equal in all columns have copies of their own.
     """
-    copies = mix(docs, weights, share, cap).groupBy("id", "digest").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), *row_key())
-    taken = rows.join(copies, same_row(rows, copies)).where("copies > 0")
-    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    staged = stage(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_tag")), "mix-documents")
+    needed = staged.select("row.doc_id", "row.text", "row.source", "_tag")
+    copies = mix(needed, weights, share, cap, carry=("_tag",)).where("copies > 0").select("_tag", "copies")
+    repeated = staged.join(copies, "_tag").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return repeated.select(F.col("row").withField("copy", F.col("copy")).alias("row")).select("row.*")

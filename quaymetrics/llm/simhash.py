@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import row_key, same_row, ship, stage
+from quaymetrics.llm.common import ship, stage
 from quaymetrics.llm.components import components
 
 SHINGLE = 3
@@ -180,14 +180,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOS
     return blocks.repartition(*block).sortWithinPartitions(*block, "fp").mapInArrow(batches, "u long, v long")
 
 
-def near_dedup_report(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), digest (of the text)."""
-    marked = stage(fingerprints(docs, shingle), "fingerprints")
+def _rooted(marked: DataFrame, radius: int, most: int) -> DataFrame:
+    """fp, least (id of its rows), root (the least fingerprint that it reaches)."""
     distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-set")
     roots = components(fingerprint_links(distinct.select("fp"), radius, most)).withColumnRenamed("key", "fp")
-    rooted = stage(
+    return stage(
         distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots"
     )
+
+
+def near_dedup_report(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), digest (of the text)."""
+    marked = stage(fingerprints(docs, shingle), "fingerprints")
+    rooted = _rooted(marked, radius, most)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -195,11 +200,19 @@ def near_dedup_report(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component (all rows of a component of null doc_ids)."""
-    kept = near_dedup_report(docs, shingle, radius, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("id"), "digest").distinct()
-    rows = docs.select(F.struct("*").alias("row"), *row_key())
-    return rows.join(kept, same_row(rows, kept), "left_semi").select("row.*")
+    """One row of each component: the one with the least doc_id, of several that with the least digest of its text.
+
+    Null doc_ids come last. Of rows equal in both one stays, so that rows repeated whole and components without any doc_id
+    keep one row too. Rows are told apart by a number that they are staged with.
+    """
+    staged = stage(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("tag")), "near-documents")
+    marked = stage(fingerprints(staged.select(F.col("tag").alias("doc_id"), "row.text"), shingle), "fingerprints")
+    roots = _rooted(marked, radius, most).select("fp", "root")
+    ids = staged.select("tag", F.col("row.doc_id").alias("doc_id"))
+    members = marked.withColumnRenamed("id", "tag").join(roots, "fp").join(ids, "tag")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "tag"))["tag"]
+    kept = members.groupBy("root").agg(first.alias("tag")).select("tag")
+    return staged.join(kept, "tag", "left_semi").select("row.*")
 
 
 ship(__name__)

@@ -12,8 +12,9 @@ from llm.test_simhash import brute as near
 import corpus_pipeline
 from quaymetrics.llm import queries
 from quaymetrics.llm.language_id import UND, fit, label_texts
+from quaymetrics.llm.mixing import apply_mix, mix_report
 
-FAST = ["op3_chat_format", "op5_decontamination", "op6_line_dedup"]  # op1 has a brute-force test at this size
+FAST = ["op3_chat_format", "op5_decontamination", "op6_line_dedup", "op11_collocations", "op12_fill_in_middle", "op13_exact_dedup"]  # op1 has a brute-force test at this size
 
 
 def _rows(frame):
@@ -31,7 +32,7 @@ def test_queries_equal_their_statements(spark, name):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_equal_plain_python(spark):
@@ -71,3 +72,23 @@ def test_stages_equal_plain_python(spark):
 def test_run_writes_every_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "copy" in out.columns
+
+
+def test_no_stage_keeps_rows_repeated_whole(spark, make_docs):
+    """Rows repeated whole, equal texts under one id or none: one stays, and the mix takes what it decided."""
+    text = " ".join(f"word{k}" for k in range(12))
+    rows = [(7, text)] * 3 + [(None, text)] * 2 + [(9, text), (9, "another text here"), (None, "only text without a number")]
+    rows += [(20 + i, " ".join(f"{i}w{k * k % 7}x{k}" for k in range(30))) for i in range(10)]
+    left = corpus_pipeline.near_dedup(spark, make_docs(rows).repartition(3), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(
+        {(7, text), (9, "another text here"), (None, "only text without a number"), *rows[8:]}, key=str
+    )
+
+
+def test_the_mix_takes_what_it_decided_of_equal_rows(spark, make_docs):
+    rows = [(7, "a b c d e f")] * 5 + [(None, "g h i")] * 4 + [(30 + i, "x " * (i + 1)) for i in range(9)]
+    docs = make_docs(rows)
+    decided = sum(r["taken"] for r in mix_report(docs, weights=(1,), share=0.7).collect())
+    mixed = apply_mix(docs, weights=(1,), share=0.7).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == decided
+    assert abs(decided - 0.7 * sum(len(t.split()) for _, t in rows)) <= 2
