@@ -12,13 +12,16 @@ context: all bytes of the windows that picked it.
 3. Different contexts may still share windows, at the ends of a repeated passage. Contexts that share the gram and the
    42 bytes before or after it are compared window by window, with the bytes fetched from the documents. Grams with
    many contexts in one batch are compared by hashes of single windows, spread over all shards.
-4. Marks meet the texts by doc_id and are cut out.
+4. Marks meet the texts by row and are cut out.
 
-Contexts are compared by 128 bits of hash (gram and context), windows by XXH3 with 128 bits.
+Contexts are compared by 128 bits of hash (gram and context), windows by XXH3 with 128 bits. Suffixes are ordered by these
+hashes, not by their bytes: equal contexts stand together, which is all that the merge scan asks for.
+
+Every row is a document of its own, told apart by a number that it is staged with; doc_id says which one is earlier.
 
 Defined cases: a null text is empty and stays; texts under 100 bytes have no window; a null doc_id counts as the largest
-id there is; rows of one doc_id count as one document, so the same start in two of them is no earlier occurrence, and what
-is marked for a doc_id is cut from all its rows, as far as they reach; other columns don't matter.
+id there is; of rows with one doc_id, or none, the one staged first is the earlier document, so that a row repeated whole
+is cut and a row without repeats never is; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -46,12 +49,14 @@ CHUNK = 1 << 18
 LAST_ID = (1 << 63) - 1
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Columns of a suffix: gram hash, context hash, hashes of the sides (0: not inside the context), doc_id, place of the context's
-#: first byte, and its windows less one. CROWD in the last column tells that the gram is crowded.
-SUFFIX = np.dtype([("key", "u8"), ("cls", "u8"), ("left", "u4"), ("right", "u4"), ("doc", "i8"), ("lo", "i4"), ("more", "u1")])
+#: Columns of a suffix: gram hash, context hash, hashes of the sides (0: not inside the context), doc_id, row, place of the
+#: context's first byte, and its windows less one. CROWD in the last column tells that the gram is crowded.
+SUFFIX = np.dtype([("key", "u8"), ("cls", "u8"), ("left", "u4"), ("right", "u4"), ("doc", "i8"), ("row", "i8"), ("lo", "i4"), ("more", "u1")])
 CROWD = 255
-#: A single window: its 128-bit hash, doc_id and start.
-SINGLE = np.dtype([("w1", "u8"), ("w2", "u8"), ("doc", "i8"), ("lo", "i4")])
+#: A single window: its 128-bit hash, doc_id, row and start.
+SINGLE = np.dtype([("w1", "u8"), ("w2", "u8"), ("doc", "i8"), ("row", "i8"), ("lo", "i4")])
+#: What says which of two places is earlier.
+PLACE = ("doc", "row", "lo")
 #: A candidate in a document: gram hash, context, whether its gram is crowded.
 CANDIDATE = np.dtype([("key", "u8"), ("lo", "i4"), ("more", "u1"), ("crowded", "u1")])
 SPAN = np.dtype([("start", "i4"), ("end", "i4")])
@@ -102,7 +107,7 @@ def _picked(hashes: np.ndarray) -> np.ndarray:
     return place
 
 
-def suffixes(data: bytes, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(data: bytes, starts: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of the documents that stand one after the other in data, each WINDOW bytes long at least, and the place
     of each one's context in data."""
     hashes = _grams(data)
@@ -118,7 +123,7 @@ def suffixes(data: bytes, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndar
     hi = windows[np.append(new[1:], len(place)) - 1]
     at = np.searchsorted(starts, gram, "right") - 1
     out = np.empty(len(gram), SUFFIX)
-    out["key"], out["doc"], out["lo"], out["more"] = hashes[gram], docs[at], lo - starts[at], hi - lo
+    out["key"], out["doc"], out["row"], out["lo"], out["more"] = hashes[gram], docs[at], rows[at], lo - starts[at], hi - lo
     cls, last = (hi - lo).astype(np.uint64), hi + WINDOW - GRAM
     for step in range(0, 2 * WINDOW - GRAM, GRAM):
         cls = _mix(cls, hashes[np.minimum(lo + step, last)])
@@ -140,12 +145,14 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)) if len(columns[0]) else np.zeros(0, bool)
 
 
-def _first_and_later(order_by: tuple, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the first of each group of equal rows, and of those that start later than their first."""
-    order = np.lexsort((lo, doc, *order_by[::-1]))
-    head = _heads(*[c[order] for c in order_by])
+def _first_and_later(table: np.ndarray, by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the first of each group of rows equal in `by`, and of those that stand at a later place."""
+    order = np.lexsort([table[c] for c in (*PLACE[::-1], *by[::-1])])
+    head = _heads(*[table[c][order] for c in by])
     first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = (doc[order] != doc[first]) | (lo[order] != lo[first])
+    later = np.zeros(len(order), bool)
+    for c in PLACE:
+        later |= table[c][order] != table[c][first]
     return order[head], order[later]
 
 
@@ -160,10 +167,10 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_doc(doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(doc, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(doc) else ():
-        yield int(doc[rows[0]]), rows
+def _by_row(row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(row, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(row) else ():
+        yield int(row[same[0]]), same
 
 
 class _Out:
@@ -172,8 +179,8 @@ class _Out:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
 
-    def spans(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> None:
-        for id_, rows in _by_doc(doc):
+    def spans(self, row: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> None:
+        for id_, rows in _by_row(row):
             self.rows.append((SPANS, id_ % buckets, id_, _pack(merged(start[rows], end[rows]))))
 
     def dealt(self, kind: int, by: np.ndarray, table: np.ndarray, buckets: int) -> None:
@@ -195,30 +202,32 @@ class _Out:
         self.rows = []
 
 
-def _singles(texts: Iterable[tuple[int, int, bytes]]) -> np.ndarray:
-    """Every window of contexts (doc_id, place, bytes) with its hash."""
-    digest, hashes, docs, los = xxhash.xxh3_128_digest, [], [], []
-    for doc, lo, context in texts:
+def _singles(texts: Iterable[tuple[int, int, int, bytes]]) -> np.ndarray:
+    """Every window of contexts (doc_id, row, place, bytes) with its hash."""
+    digest, hashes, docs, rows, los = xxhash.xxh3_128_digest, [], [], [], []
+    for doc, row, lo, context in texts:
         n = len(context) - WINDOW + 1
         hashes += [digest(context[i : i + WINDOW]) for i in range(n)]
         docs.append(np.full(n, doc, np.int64))
+        rows.append(np.full(n, row, np.int64))
         los.append(np.arange(lo, lo + n))
     out = np.empty(len(hashes), SINGLE)
     if hashes:
         both = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
-        out["w1"], out["w2"], out["doc"], out["lo"] = both[:, 0], both[:, 1], np.concatenate(docs), np.concatenate(los)
+        out["w1"], out["w2"], out["doc"], out["row"] = both[:, 0], both[:, 1], np.concatenate(docs), np.concatenate(rows)
+        out["lo"] = np.concatenate(los)
     return out
 
 
 def _firsts_of_singles(singles: np.ndarray, out: _Out, buckets: int) -> np.ndarray:
     """Marks the windows that start later than an equal one; returns the others."""
-    first, later = _first_and_later((singles["w1"], singles["w2"]), singles["doc"], singles["lo"])
+    first, later = _first_and_later(singles, ("w1", "w2"))
     gone = singles[later]
-    out.spans(gone["doc"], gone["lo"], gone["lo"] + WINDOW, buckets)
+    out.spans(gone["row"], gone["lo"], gone["lo"] + WINDOW, buckets)
     return singles[first]
 
 
-def _batch_of_suffixes(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _batch_of_suffixes(ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of a batch and the row of texts that each is from."""
     found, rows = [], []
     held, size = [], 0
@@ -228,7 +237,7 @@ def _batch_of_suffixes(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray,
         size += len(texts[i])
         if size >= CHUNK or k == len(long_enough) - 1:
             starts = np.concatenate(([0], np.cumsum([len(texts[j]) for j in held])[:-1]))
-            part, at = suffixes(b"".join([texts[j] for j in held]), starts, ids[held])
+            part, at = suffixes(b"".join([texts[j] for j in held]), starts, ids[held], tags[held])
             found.append(part)
             rows.append(np.array(held)[np.searchsorted(starts, at, "right") - 1])
             held, size = [], 0
@@ -236,23 +245,23 @@ def _batch_of_suffixes(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray,
 
 
 def _runs(buckets: int):
-    """Step 1: documents (id, text) to runs, marks and single windows of crowded grams."""
+    """Step 1: documents (id, row, text) to runs, marks and single windows of crowded grams."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column("id").to_numpy()
             texts = part.column("text").to_pylist()
             out = _Out()
-            found, rows = _batch_of_suffixes(ids, texts)
-            first, later = _first_and_later((found["key"], found["cls"]), found["doc"], found["lo"])
+            found, rows = _batch_of_suffixes(ids, part.column("row").to_numpy(), texts)
+            first, later = _first_and_later(found, ("key", "cls"))
             gone = found[later]
-            out.spans(gone["doc"], gone["lo"], gone["lo"] + gone["more"] + WINDOW, buckets)
+            out.spans(gone["row"], gone["lo"], gone["lo"] + gone["more"] + WINDOW, buckets)
             run, rows = found[first], rows[first]
             head = np.flatnonzero(_heads(run["key"]))
             crowd = np.repeat(n := np.diff(np.append(head, len(run))), n) > CROWDED
             if crowd.any():
                 many = run[crowd]
-                spread = _singles((int(s["doc"]), int(s["lo"]), texts[r][s["lo"] : int(s["lo"]) + int(s["more"]) + WINDOW]) for s, r in zip(many, rows[crowd], strict=True))
+                spread = _singles((int(s["doc"]), int(s["row"]), int(s["lo"]), texts[r][s["lo"] : int(s["lo"]) + int(s["more"]) + WINDOW]) for s, r in zip(many, rows[crowd], strict=True))
                 spread = _firsts_of_singles(spread, out, buckets)
                 out.dealt(SINGLES, spread["w1"], spread, buckets)
                 flags = many[_heads(many["key"])]
@@ -303,8 +312,10 @@ class Levels:
             same = (level["key"][at[active]] == run["key"][active]) & (level["cls"][at[active]] == run["cls"][active])
             new, old = active[same], at[active[same]]
             known[new] = True
-            earlier = (run["doc"][new] < level["doc"][old]) | ((run["doc"][new] == level["doc"][old]) & (run["lo"][new] < level["lo"][old]))
-            tie = (run["doc"][new] == level["doc"][old]) & (run["lo"][new] == level["lo"][old])
+            earlier, tie = np.zeros(len(new), bool), np.ones(len(new), bool)
+            for c in PLACE:
+                earlier |= tie & (run[c][new] < level[c][old])
+                tie &= run[c][new] == level[c][old]
             self.later += [level[old[earlier]], run[new[~earlier & ~tie]]]
             level[old[earlier]] = run[new[earlier]]
             active = active[~same]
@@ -337,33 +348,33 @@ def _shards(buckets: int):
                 levels.add(_unpack(blob.as_py(), SUFFIX))
         if levels.later:
             gone = np.concatenate(levels.later)
-            out.spans(gone["doc"], gone["lo"], gone["lo"] + gone["more"] + WINDOW, buckets)
+            out.spans(gone["row"], gone["lo"], gone["lo"] + gone["more"] + WINDOW, buckets)
         wanted, crowded = levels.candidates()
         table = np.empty(len(wanted), CANDIDATE)
         table["key"], table["lo"], table["more"], table["crowded"] = wanted["key"], wanted["lo"], wanted["more"], crowded
-        for id_, rows in _by_doc(wanted["doc"]):
+        for id_, rows in _by_row(wanted["row"]):
             out.rows.append((CANDIDATES, None, id_, _pack(table[rows])))
         yield from out.batches()
 
     return batches
 
 
-CONTEXT = np.dtype([("key", "u8"), ("doc", "i8"), ("lo", "i4"), ("more", "u1"), ("bytes", "u1", (2 * WINDOW - GRAM,))])
+CONTEXT = np.dtype([("key", "u8"), ("doc", "i8"), ("row", "i8"), ("lo", "i4"), ("more", "u1"), ("bytes", "u1", (2 * WINDOW - GRAM,))])
 
 
 def _contexts(buckets: int):
-    """Step 3, at the documents (id, text, blobs): the bytes of the candidates, or their windows where crowded."""
+    """Step 3, at the documents (id, row, text, blobs): the bytes of the candidates, or their windows where crowded."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out, singles, tables = _Out(), [], []
-            for id_, text, blobs in zip(*[part.column(c).to_pylist() for c in ("id", "text", "blobs")], strict=True):
+            for id_, tag, text, blobs in zip(*[part.column(c).to_pylist() for c in ("id", "row", "text", "blobs")], strict=True):
                 wanted = np.concatenate([_unpack(b, CANDIDATE) for b in blobs])
                 wanted = wanted[wanted["lo"] + wanted["more"] + WINDOW <= len(text)]
-                singles += [(id_, int(c["lo"]), text[c["lo"] : int(c["lo"]) + int(c["more"]) + WINDOW]) for c in wanted[wanted["crowded"] == 1]]
+                singles += [(id_, tag, int(c["lo"]), text[c["lo"] : int(c["lo"]) + int(c["more"]) + WINDOW]) for c in wanted[wanted["crowded"] == 1]]
                 plain = wanted[wanted["crowded"] == 0]
                 table = np.zeros(len(plain), CONTEXT)
-                table["key"], table["doc"], table["lo"], table["more"] = plain["key"], id_, plain["lo"], plain["more"]
+                table["key"], table["doc"], table["row"], table["lo"], table["more"] = plain["key"], id_, tag, plain["lo"], plain["more"]
                 data = np.frombuffer(text, np.uint8)
                 for row, c in zip(table, plain, strict=True):
                     size = int(c["more"]) + WINDOW
@@ -401,22 +412,22 @@ def _compared(buckets: int):
         for r in range(rounds):
             rows = table[turn == r]
             _firsts_of_singles(
-                _singles((int(c["doc"]), int(c["lo"]), c["bytes"][: int(c["more"]) + WINDOW].tobytes()) for c in rows), out, buckets
+                _singles((int(c["doc"]), int(c["row"]), int(c["lo"]), c["bytes"][: int(c["more"]) + WINDOW].tobytes()) for c in rows), out, buckets
             )
             yield from out.batches()
 
     return batches
 
 
-def _spans(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
-    """id, blobs: the spans to remove by document, packed, those of a shard in one."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    long_ones = texts.where(F.octet_length("text") >= WINDOW)
+def _spans(rows: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """rows: doc_id, text, row. row, blobs: the spans to remove by row, packed, those of a shard in one."""
+    id_ = F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("id")
+    long_ones = rows.where(F.octet_length("text") >= WINDOW).select(id_, "row", "text")
     scanned = stage(
         long_ones.mapInArrow(_runs(buckets), ROWS).repartition(shards, "bucket").mapInArrow(_shards(buckets), ROWS), "suffix-shards"
     )
-    wanted = scanned.where(F.col("kind") == CANDIDATES).groupBy("id").agg(F.collect_list("blob").alias("blobs"))
-    contexts = long_ones.join(wanted, "id").mapInArrow(_contexts(buckets), ROWS)
+    wanted = scanned.where(F.col("kind") == CANDIDATES).groupBy(F.col("id").alias("row")).agg(F.collect_list("blob").alias("blobs"))
+    contexts = long_ones.join(wanted, "row").mapInArrow(_contexts(buckets), ROWS)
     passed = F.col("kind").isin(SPANS)
     single = scanned.where(F.col("kind") == SINGLES)
     # marks that the contexts' step makes itself go straight on with those of the shards
@@ -424,7 +435,7 @@ def _spans(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
         contexts.unionByName(single).repartition(shards, "bucket").mapInArrow(_passing(_compared(buckets)), ROWS), "suffix-compared"
     )
     marks = scanned.where(passed).unionByName(compared.where(passed))
-    return marks.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
+    return marks.groupBy(F.col("id").alias("row")).agg(F.collect_list("blob").alias("blobs"))
 
 
 def _passing(step):
@@ -456,10 +467,11 @@ def _cut(text: bytes, blobs: list[bytes] | None) -> tuple[list[tuple[int, int]],
 
 def _joined(docs: DataFrame) -> DataFrame:
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = _spans(docs, 4 * shards, shards)
-    id_ = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(id_, F.lit(LAST_ID)).alias("id"), id_.alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.join(spans, "id", "left")
+    # the number of a row must stay the same in all passes over the texts
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.monotonically_increasing_id().alias("row"))
+    rows = stage(numbered, "suffix-documents")
+    return rows.join(_spans(rows, 4 * shards, shards), "row", "left")
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:

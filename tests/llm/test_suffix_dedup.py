@@ -11,26 +11,19 @@ from quaymetrics.llm.suffix_dedup import LAST_ID, WINDOW, Levels, cut_repeats, s
 
 
 def brute(rows):
-    """The contract, read literally: rows of one doc_id are one document for what is earlier."""
-    first, kept = {}, []
-    for i, t in rows:
-        data, i = (t or "").encode(), LAST_ID if i is None else i
+    """The contract, read row by row: doc_id says which row is earlier, of one doc_id (or none) the row that comes first."""
+    first, out = {}, []
+    order = sorted(range(len(rows)), key=lambda k: (LAST_ID if rows[k][0] is None else rows[k][0], k))
+    for place, k in enumerate(order):
+        data, gone = (rows[k][1] or "").encode(), set()
         for s in range(len(data) - WINDOW + 1):
-            w = data[s : s + WINDOW]
-            first[w] = min(first.get(w, (i, s)), (i, s))
-    covered = {}
-    for i, t in rows:
-        data, i = (t or "").encode(), LAST_ID if i is None else i
-        for s in range(len(data) - WINDOW + 1):
-            if first[data[s : s + WINDOW]] < (i, s):
-                covered.setdefault(i, set()).update(range(s, s + WINDOW))
-    for i, t in rows:
-        data = (t or "").encode()
-        gone = sorted(p for p in covered.get(LAST_ID if i is None else i, ()) if p < len(data))
-        spans = sum(k == 0 or gone[k - 1] != p - 1 for k, p in enumerate(gone))
-        rest = bytes(b for p, b in enumerate(data) if p not in set(gone))
-        kept.append((LAST_ID if i is None else i, len(data), len(gone), spans, hashlib.sha256(rest).hexdigest()))
-    return sorted(kept, key=str)
+            if first.setdefault(data[s : s + WINDOW], (place, s)) < (place, s):
+                gone.update(range(s, s + WINDOW))
+        spans = sum(p - 1 not in gone for p in gone)
+        rest = bytes(b for p, b in enumerate(data) if p not in gone)
+        i = LAST_ID if rows[k][0] is None else rows[k][0]
+        out.append((i, len(data), len(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return sorted(out, key=str)
 
 
 def text(rng, n, letters="abcdefgh "):
@@ -59,13 +52,28 @@ def got(df):
 
 def test_equals_brute_force(spark, make_docs):
     rows = cases()
-    assert got(suffix_report(make_docs(rows).repartition(3))) == brute(rows)
+    assert got(suffix_report(make_docs(rows).coalesce(1))) == brute(rows)  # rows of one doc_id in the order given
+    unique = [r for k, r in enumerate(rows) if r[0] not in (None, 31)]
+    assert got(suffix_report(make_docs(unique).repartition(3))) == brute(unique)
+
+
+def test_rows_without_repeats_are_never_cut(spark, make_docs):
+    """What is found in one row is not cut from another one of its doc_id, nor from other rows without a doc_id."""
+    rng = random.Random(9)
+    passage, clean, other = text(rng, 200), text(rng, 400), text(rng, 400)
+    rows = [(1, passage), (None, clean), (None, passage + text(rng, 200)), (5, other), (5, passage + text(rng, 150)), (5, other), (None, clean)]
+    out = cut_repeats(make_docs(rows).coalesce(1)).collect()
+    kept = sorted(((r["doc_id"], len(r["kept"])) for r in out), key=str)
+    assert kept == sorted([(1, 200), (None, 400), (None, 200), (5, 400), (5, 150), (5, 0), (None, 0)], key=str)
+    assert got(suffix_report(make_docs(rows).coalesce(1))) == brute(rows)
 
 
 def test_crowded_grams_are_compared_by_single_windows(spark, make_docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWDED", 2)
     rows = cases()
-    assert got(suffix_report(make_docs(rows).repartition(4))) == brute(rows)
+    assert got(suffix_report(make_docs(rows).coalesce(1))) == brute(rows)
+    unique = [r for r in rows if r[0] not in (None, 31)]
+    assert got(suffix_report(make_docs(unique).repartition(4))) == brute(unique)
 
 
 def test_empty_table(spark, make_docs):
@@ -85,7 +93,7 @@ def test_equal_windows_pick_the_same_place():
     found = []
     for _ in range(5):
         data = text(rng, 60).encode() + shared + text(rng, 60).encode()
-        table, lo = suffixes(data, np.array([0]), np.array([1]))
+        table, lo = suffixes(data, np.array([0]), np.array([1]), np.array([0]))
         places = set()
         for row, at in zip(table, lo, strict=True):
             places |= {(int(row["key"]), s - 60) for s in range(at, at + int(row["more"]) + 1) if 60 <= s <= 90}
@@ -100,7 +108,7 @@ def test_levels_grow_geometrically_and_hold_each_context_once():
         run = np.zeros(50, suffix_dedup.SUFFIX)
         run["key"], run["cls"] = rng.integers(0, 1 << 20, 50) << 30, rng.integers(0, 3, 50)
         run = run[np.unique(run[["key", "cls"]], return_index=True)[1]]
-        run["doc"] = int(rng.integers(0, 1000))
+        run["doc"] = run["row"] = int(rng.integers(0, 1000))
         run["lo"] = i
         for r in run:
             at = (int(r["doc"]), int(r["lo"]))
