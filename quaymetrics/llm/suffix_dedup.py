@@ -44,7 +44,7 @@ SIDE = (WINDOW - GRAM) // 2
 #: Contexts of one gram in one batch from which the gram's windows are spread one by one.
 CROWDED = 32
 #: Windows that are compared in memory at once, and bytes of text that are hashed at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 800_000
 CHUNK = 1 << 18
 LAST_ID = (1 << 63) - 1
 
