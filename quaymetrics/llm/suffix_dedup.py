@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import ship, stage
+from quaymetrics.llm.common import ship, stage, unstage
 
 WINDOW = 100
 GRAM = 16
@@ -435,7 +435,10 @@ def _spans(rows: DataFrame, buckets: int, shards: int) -> DataFrame:
         contexts.unionByName(single).repartition(shards, "bucket").mapInArrow(_passing(_compared(buckets)), ROWS), "suffix-compared"
     )
     marks = scanned.where(passed).unionByName(compared.where(passed))
-    return marks.groupBy(F.col("id").alias("row")).agg(F.collect_list("blob").alias("blobs"))
+    spans = stage(marks.groupBy(F.col("id").alias("row")).agg(F.collect_list("blob").alias("blobs")), "suffix-spans")
+    for done in (scanned, compared):
+        unstage(done)
+    return spans
 
 
 def _passing(step):
