@@ -44,7 +44,7 @@ SIDE = (WINDOW - GRAM) // 2
 #: Contexts of one gram in one batch from which the gram's windows are spread one by one.
 CROWDED = 32
 #: Windows that are compared in memory at once, and bytes of text that are hashed at once.
-AT_ONCE = 800_000
+AT_ONCE = 250_000
 CHUNK = 1 << 18
 LAST_ID = (1 << 63) - 1
 
@@ -406,7 +406,10 @@ def _compared(buckets: int):
                     raise ValueError(kind)
         if singles:
             _firsts_of_singles(np.concatenate(singles), out, buckets)
+            singles.clear()
+            yield from out.batches()
         table = np.concatenate(contexts) if contexts else np.empty(0, CONTEXT)
+        contexts.clear()
         rounds = int(table["more"].sum(dtype=np.int64) + len(table)) // AT_ONCE + 1
         turn = (table["key"] >> np.uint64(8)) % np.uint64(rounds)
         for r in range(rounds):
