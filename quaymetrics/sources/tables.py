@@ -51,18 +51,19 @@ class Scope:
 
 def load(spark: SparkSession, root: str) -> Tables:
     """Read `<root>/<table>` parquet folders with the declared schemas, laid out and parsed by save() or not."""
-    frames = {}
-    for name, schema in SCHEMAS.items():
-        stored = spark.read.parquet(f"{root}/{name}").schema
-        columns = [part.strip() for part in re.split(r",(?![^(]*\))", schema)]
-        for i, column in enumerate(columns):
-            kind = PARSED.get(name, {}).get(column.split()[0])
-            if kind and not isinstance(stored[column.split()[0]].dataType, StringType):
-                columns[i] = f"{column.split()[0]} {kind}"
-        if LAYOUT_DAY in stored.fieldNames():
-            columns.append(f"{LAYOUT_DAY} date")
-        frames[name] = spark.read.schema(", ".join(columns)).parquet(f"{root}/{name}")
-    return Tables(**frames)
+    return Tables(**{name: _read(spark, root, name) for name in SCHEMAS})
+
+
+def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    stored = spark.read.parquet(f"{root}/{name}").schema
+    columns = [part.strip() for part in re.split(r",(?![^(]*\))", SCHEMAS[name])]
+    for i, column in enumerate(columns):
+        kind = PARSED.get(name, {}).get(column.split()[0])
+        if kind and not isinstance(stored[column.split()[0]].dataType, StringType):
+            columns[i] = f"{column.split()[0]} {kind}"
+    if LAYOUT_DAY in stored.fieldNames():
+        columns.append(f"{LAYOUT_DAY} date")
+    return spark.read.schema(", ".join(columns)).parquet(f"{root}/{name}")
 
 
 def _layout(name: str) -> tuple[Column, str] | None:
@@ -80,26 +81,79 @@ def _layout(name: str) -> tuple[Column, str] | None:
     return None
 
 
+def _as_stored(name: str, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """A table with JSON parsed and its layout day, the columns of its folders and those that it is sorted by."""
+    prefix = PREFIX[name]
+    tml = f"{prefix}_tml_id"
+    for column, kind in PARSED.get(name, {}).items():
+        empty = F.array().cast(kind) if kind.startswith("array") else F.from_json(F.lit("{}"), kind)
+        # unreadable text stays apart from no text
+        df = df.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce(parsed(df, column, kind), empty)))
+    layout = _layout(name)
+    if layout is None:
+        return df, [], []
+    day, time = layout
+    return df.withColumn(LAYOUT_DAY, day), [tml, LAYOUT_DAY], [tml, LAYOUT_DAY, f"{prefix}_eq_type", f"{prefix}_eq_no", time]
+
+
+def _written(df: DataFrame, folders: list[str], order: list[str], path: str, mode: str) -> None:
+    # by folder; adaptive execution splits large folders over several writers and merges small ones
+    rows = df.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*order)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+
+
 def save(tables: Tables, root: str, mode: str = "errorifexists") -> None:
     """Write the tables: facts and sessions by terminal and day, so that a report on some days opens only those folders,
     sorted by unit and time, so that one on a unit skips most row groups; JSON arrays parsed, so that no report does."""
     for field in fields(tables):
-        df: DataFrame = getattr(tables, field.name)
-        prefix = PREFIX[field.name]
-        tml = f"{prefix}_tml_id"
-        for column, kind in PARSED.get(field.name, {}).items():
-            empty = F.array().cast(kind) if kind.startswith("array") else F.from_json(F.lit("{}"), kind)
-            # unreadable text stays apart from no text
-            df = df.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce(parsed(df, column, kind), empty)))
-        layout = _layout(field.name)
-        if layout is None:
-            df.write.mode(mode).parquet(f"{root}/{field.name}")
-            continue
-        day, time = layout
-        # by folder; adaptive execution splits large folders over several writers and merges small ones
-        df = df.withColumn(LAYOUT_DAY, day).hint("rebalance", F.col(tml), F.col(LAYOUT_DAY))
-        df = df.sortWithinPartitions(tml, LAYOUT_DAY, f"{prefix}_eq_type", f"{prefix}_eq_no", time)
-        df.write.mode(mode).partitionBy(tml, LAYOUT_DAY).parquet(f"{root}/{field.name}")
+        df, folders, order = _as_stored(field.name, getattr(tables, field.name))
+        path = f"{root}/{field.name}"
+        if folders:
+            _written(df, folders, order, path, mode)
+        else:
+            df.write.mode(mode).parquet(path)
+
+
+def add(tables: Tables, root: str) -> None:
+    """Add the facts and sessions of some days to saved tables, without touching the folders of other days.
+
+    Facts: a terminal's day that comes again replaces what was there, so a load can be repeated; trips that end before they
+    start have no day and are added to the others of that kind. Sessions: a row replaces the one of its unit and start, so a
+    session that was open moves from the open folder to that of its last day. Units and settings are not touched.
+    """
+    for name in LAYOUT_TIME:
+        df, folders, order = _as_stored(name, getattr(tables, name))
+        there = _read(df.sparkSession, root, name)
+        undated = F.col(LAYOUT_DAY).isNull()
+        kept = df.where(undated).unionByName(there.where(undated).select(*df.columns)).distinct()
+        _written(df.where(~undated).unionByName(kept), folders, order, f"{root}/{name}", "overwrite")
+    for name in LAYOUT_SESSION:
+        _add_sessions(name, getattr(tables, name), root)
+
+
+def _add_sessions(name: str, given: DataFrame, root: str) -> None:
+    df, folders, order = _as_stored(name, given)
+    spark = df.sparkSession
+    key = [f"{PREFIX[name]}_{c}" for c in ("tml_id", "eq_type", "eq_no")] + [LAYOUT_SESSION[name][0]]
+    there = _read(spark, root, name)
+    touched = df.select(*folders).distinct()
+    same = [there[c].eqNullSafe(touched[c]) for c in folders]
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("_folder")
+    # the folders that get rows, and the open one, which may lose some to any of them
+    around = there.select("*", folder).join(touched, same, "left_semi")
+    around = around.unionByName(there.where(F.col(LAYOUT_DAY).isNull()).select("*", folder)).distinct()
+    stays = around.join(df, [around[c].eqNullSafe(df[c]) for c in key], "left_anti").select(*df.columns)
+    rows = stays.unionByName(df)
+    # few rows come here, one a folder: those that no row is left for are not overwritten, but deleted
+    left = rows.select(*folders).distinct()
+    before = around.select(*folders, "_folder").distinct()
+    emptied = before.join(left, [before[c].eqNullSafe(left[c]) for c in folders], "left_anti").collect()
+    _written(rows, folders, order, f"{root}/{name}", "overwrite")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for row in emptied:
+        path = hadoop.Path(spark._jvm.java.net.URI(row["_folder"]))
+        path.getFileSystem(conf).delete(path, True)
+    spark.catalog.refreshByPath(f"{root}/{name}")
 
 
 def scoped(tables: Tables, name: str, scope: Scope, *where: Column) -> DataFrame:

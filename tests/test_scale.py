@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
@@ -15,7 +16,8 @@ from quaymetrics.operators.seq import numbered
 from quaymetrics.plans import execution as x
 from quaymetrics.plans import oee, productivity
 from quaymetrics.plans import utilization as u
-from quaymetrics.sources.tables import Tables, load, load_checks, save
+from quaymetrics.sources.schema import LAYOUT_SESSION, LAYOUT_TIME, PREFIX
+from quaymetrics.sources.tables import Tables, add, load, load_checks, save
 
 DAY, AS_OF = "2024-01-12", "2024-01-12 18:00:00"
 START, END = "2024-01-12 00:00:00", "2024-01-12 23:59:59.999"
@@ -224,6 +226,38 @@ def _stored(spark, derived: Tables, tmp_path) -> Tables:
     return load(spark, root)
 
 
+def _parts(tables: Tables, until) -> Tables:
+    """What a load of the days up to `until` would bring: facts of one day, sessions begun by then, open if they end later."""
+    day = F.to_date(F.lit(until))
+    pick = {}
+    for name, column in LAYOUT_TIME.items():
+        pick[name] = getattr(tables, name).where(F.to_date(column) == day)
+    for name, (on, off) in LAYOUT_SESSION.items():
+        df = getattr(tables, name).where((F.to_date(on) <= day) & (F.col(off).isNull() | (F.to_date(off) >= day)))
+        pick[name] = df.withColumn(off, F.when(F.to_date(off) <= day, F.col(off)))
+    return replace(tables, **pick)
+
+
+def test_days_added_one_by_one_equal_all_saved_at_once(spark, derived, tmp_path):
+    days = [f"2024-01-{d:02d}" for d in range(10, 14)]
+    first, last = F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date")
+    whole = {n: getattr(derived, n).where(F.to_date(c).between(first, last)) for n, c in LAYOUT_TIME.items()}
+    for n, (on, off) in LAYOUT_SESSION.items():  # each begins once per unit and start
+        df = getattr(derived, n).where((F.to_date(on) >= first) & (F.to_date(on) <= last) & (F.col(off).isNull() | (F.col(off) >= F.col(on))))
+        key = [f"{PREFIX[n]}_{c}" for c in ("tml_id", "eq_type", "eq_no")] + [on]
+        whole[n] = df.dropDuplicates(key).withColumn(off, F.when(F.to_date(off) <= last, F.col(off)))
+    whole = replace(derived, **whole)
+    root = str(tmp_path / "daily")
+    save(_parts(whole, days[0]), root)
+    for day in [*days[1:], days[-1]]:  # the last one is loaded twice
+        add(_parts(whole, day), root)
+    save(whole, str(tmp_path / "once"))
+    daily, once = load(spark, root), load(spark, str(tmp_path / "once"))
+    for name in (*LAYOUT_TIME, *LAYOUT_SESSION):
+        a, b = getattr(daily, name), getattr(once, name)
+        assert a.count() == b.count() > 0 and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+
+
 def test_saved_tables_give_the_same_reports(spark, derived, tmp_path):
     stored = _stored(spark, derived, tmp_path)
     for build in (
