@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .schema import SCHEMAS
 from .tables import Scope, Tables, scoped
 
 # Setting names and the output column each one feeds.
@@ -48,6 +52,61 @@ def oee_config_set(
     return tables.bi_oee_tml_value.withColumn("bi_ov_value", F.when(hit, F.lit(value)).otherwise(F.col("bi_ov_value")))
 
 
+class StaleSettings(RuntimeError):
+    """The settings have changed since they were read."""
+
+
+def _folder(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def settings_version(spark: SparkSession, root: str) -> int:
+    """Number of the current snapshot under root; 0 before the first one."""
+    fs, folder = _folder(spark, root)
+    found = [0]
+    if fs.exists(folder):
+        found += [int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(folder)]
+    return max(found)
+
+
+def read_settings(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """The current snapshot and its number, to be given to publish_settings()."""
+    version = settings_version(spark, root)
+    if not version:
+        raise FileNotFoundError(f"no settings under {root}")
+    return spark.read.schema(SCHEMAS["bi_oee_tml_value"]).parquet(f"{root}/snapshot-{_snapshot(spark, root, version)}"), version
+
+
+def _snapshot(spark: SparkSession, root: str, version: int) -> str:
+    fs, folder = _folder(spark, root)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+    return next(n.split("-")[1] for n in names if int(n.split("-")[0]) == version)
+
+
+def publish_settings(settings: DataFrame, root: str, base: int) -> int:
+    """Make settings the next snapshot after number `base` and return its number; readers see all of it or nothing.
+
+    The rows are written to a folder of their own first. Then the number is taken by creating its file, which the file
+    system grants once; StaleSettings if somebody else has published since `base` was read. A publisher that dies after that
+    leaves its number in `_taken` without a version: delete that file to go on.
+    """
+    spark = settings.sparkSession
+    if settings_version(spark, root) != base:
+        raise StaleSettings(f"snapshot {base} is not the current one")
+    name = uuid.uuid4().hex
+    settings.write.parquet(f"{root}/snapshot-{name}")
+    fs, folder = _folder(spark, root)
+    fs.mkdirs(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        fs.create(path(f"{root}/_taken/{base + 1:09d}"), False).close()
+    except Py4JJavaError as error:
+        raise StaleSettings(f"snapshot {base + 1} was published by somebody else") from error
+    fs.create(path(f"{root}/_versions/{base + 1:09d}-{name}"), False).close()
+    return base + 1
+
+
 def pivot_config(tables: Tables, scope: Scope) -> DataFrame:
     """One row per terminal and equipment type, the largest value over groups per setting, 0 where unset."""
     value = F.col("value").cast("decimal(20,6)")
