@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,33 @@ def key_spine(tables: Tables, scope: Scope, *others: DataFrame) -> DataFrame:
     return keys.distinct() if others else keys
 
 
+def spread(
+    tables: Tables,
+    scope: Scope,
+    seen: DataFrame,
+    axis: str,
+    spine: Callable[[DataFrame], DataFrame],
+    totals: tuple[str, ...] = (),
+    registered: bool = True,
+) -> DataFrame:
+    """Spine rows of every key that is registered or seen, with the values that `seen` has for a key and `axis` value.
+
+    `seen` has one row per key and value of `axis` (a column of the spine too); a row without one makes its key known, no
+    more. Keys and values thus come from one evaluation of the facts: the few rows of a key, at most one per step of its
+    spine and one besides, are gathered in a map that its spine rows look up. Columns named in `totals` are summed per key.
+    Without `registered` only a single key asked for is added to those seen.
+    """
+    values = [c for c in seen.columns if c not in (*KEYS, axis, *totals)]
+    entry = F.when(F.col(axis).isNotNull(), F.struct(F.col(axis), F.struct(*values)))
+    rows = seen.select(*KEYS, entry.alias("_entry"), *totals)
+    if registered or scope.single_key:
+        rows = rows.unionByName(key_spine(tables, scope), allowMissingColumns=True)
+    at = F.map_from_entries(F.collect_list("_entry")).alias("_at")
+    steps = spine(rows.groupBy(*KEYS).agg(at, *[F.sum(c).alias(c) for c in totals]))
+    found = F.try_element_at("_at", F.col(axis))
+    return steps.select(*[c for c in steps.columns if c != "_at"], *[found[v].alias(v) for v in values])
+
+
 def rolling_window(now: TimeLike, hours: int):
     """Bounds of the facts a rolling report reads: the last `hours` hours up to `now`, both inclusive."""
     now = as_datetime(now)
@@ -51,9 +79,9 @@ def hour_spine(keys: DataFrame, now: TimeLike, hours: int = 6) -> DataFrame:
     now = as_datetime(now)
     running = ts(_first_hour(now, 1))
     start = F.explode(F.sequence(ts(_first_hour(now, hours)), running, F.expr("interval 1 hour")))
-    rows = keys.select(*KEYS, start.alias("s_time"))
+    rows = keys.withColumn("s_time", start)
     end = F.when(F.col("s_time") == running, ts(now)).otherwise(hour_end(F.col("s_time")))
-    return rows.select(*KEYS, "s_time", end.alias("e_time"), hour_key(F.col("s_time")).alias("hour_step"))
+    return rows.withColumn("e_time", end).withColumn("hour_step", hour_key(F.col("s_time")))
 
 
 def bucket_end(t: Column, now: TimeLike) -> Column:
@@ -67,9 +95,9 @@ def in_bucket(t: Column, now: TimeLike, hours: int = 6) -> Column:
     return (t >= ts(_first_hour(now, hours))) & (t <= ts(now)) & (t <= bucket_end(t, now))
 
 
-def onto_hours(spine: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Spine with the hourly aggregates (keyed by tml_id, eq_type, s_time); hours without facts stay NULL."""
-    return spine.join(hourly, [*KEYS, "s_time"], "left")
+def onto_hours(tables: Tables, scope: Scope, hourly: DataFrame, now: TimeLike, hours: int) -> DataFrame:
+    """Hour buckets with the hourly aggregates (keyed by tml_id, eq_type, s_time); hours without facts stay NULL."""
+    return spread(tables, scope, hourly, "s_time", lambda keys: hour_spine(keys, now, hours))
 
 
 def day_column(first: date, last: date) -> Column:

@@ -11,21 +11,27 @@ from ..functions.measures import whole
 from ..sources.schema import LEG_JSON, STEP_FIELDS, parsed, step_json
 
 
-def explode_steps(df: DataFrame, column: str, *fields: str) -> DataFrame:
+def explode_steps(df: DataFrame, column: str, *fields: str, outer: bool = False) -> DataFrame:
     """One row per step of a cycle or event array, with the step columns named (all four by default).
 
-    They are interval_sec, activity_type, step_dist and laden_status.
+    They are interval_sec, activity_type, step_dist and laden_status. With `outer` an array without steps gives a row too, and
+    step_no, the array position, is NULL there.
     """
     fields = fields or tuple(STEP_FIELDS)
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.explode(parsed(df, column, step_json(*fields))).alias("step"))
-    return rows.select(*others, *[F.col(f"step.{STEP_FIELDS[f][0]}").alias(f) for f in fields])
+    array = parsed(df, column, step_json(*fields))
+    rows = df.select(*others, F.posexplode_outer(array).alias("step_no", "step") if outer else F.explode(array).alias("step"))
+    return rows.select(*others, *["step_no"] * outer, *[F.col(f"step.{STEP_FIELDS[f][0]}").alias(f) for f in fields])
 
 
-def explode_legs(df: DataFrame, column: str = "trv_with_eta") -> DataFrame:
-    """One row per travel leg; distances and times become whole numbers leg by leg. leg_no is the array position."""
+def explode_legs(df: DataFrame, column: str = "trv_with_eta", outer: bool = False) -> DataFrame:
+    """One row per travel leg; distances and times become whole numbers leg by leg. leg_no is the array position.
+
+    With `outer` an array without legs gives a row too, without leg_no.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.posexplode(parsed(df, column, LEG_JSON)).alias("leg_no", "leg"))
+    rows = df.select(*others, explode(parsed(df, column, LEG_JSON)).alias("leg_no", "leg"))
     return rows.select(
         *others,
         "leg_no",

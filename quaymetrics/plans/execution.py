@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import is_waiting, is_working, whole
 from ..functions.timeops import TimeLike, hour_floor
 from ..operators.seq import numbered
-from ..operators.spine import KEYS, UNIT, bucket_end, hour_spine, in_bucket, key_spine, onto_hours, rolling_window
+from ..operators.spine import KEYS, UNIT, bucket_end, in_bucket, onto_hours, rolling_window
 from ..operators.steps import explode_legs, explode_steps
 from ..sources.tables import Scope, Tables, facts, scoped, sorted_rows, trips
 
@@ -27,8 +27,9 @@ def _zero_where_absent(*columns: str) -> list[Column]:
     return [F.when(F.col("_rows").isNull(), F.lit(0)).otherwise(F.col(c)).alias(c) for c in columns]
 
 
-def _hourly(df: DataFrame, t: Column, *aggregates: Column) -> DataFrame:
-    return df.groupBy(*KEYS, hour_floor(t).alias("s_time")).agg(*aggregates, F.count("*").alias("_rows"))
+def _hourly(df: DataFrame, t: Column, counts: Column, *aggregates: Column) -> DataFrame:
+    """Sums per key and hour of t. Rows that don't count fall under no hour; their keys are still known from them."""
+    return df.groupBy(*KEYS, F.when(counts, hour_floor(t)).alias("s_time")).agg(*aggregates, F.count("*").alias("_rows"))
 
 
 def _sum_when(condition: Column, value: Column | str, name: str) -> Column:
@@ -48,9 +49,9 @@ def travel_eff_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours), F.col("bi_jh_trv_with_eta").isNotNull())
     done = F.col("job_cmpl_time")
-    legs = explode_legs(jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "trv_with_eta"))
-    spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
-    rows = onto_hours(spine, _hourly(legs, done, *_leg_sums())).select(*HOUR_COLUMNS, *LEG_VALUES)
+    legs = explode_legs(jobs.select(*KEYS, "job_cmpl_time", "trv_with_eta"), outer=True)
+    hourly = _hourly(legs, done, F.col("leg_no").isNotNull() & in_bucket(done, now, hours), *_leg_sums())
+    rows = onto_hours(tables, scope, hourly, now, hours).select(*HOUR_COLUMNS, *LEG_VALUES)
     return sorted_rows(rows, scope, *KEYS, "s_time")
 
 
@@ -109,10 +110,11 @@ def travel_with_job_hourly(
     scope, window = Scope(tml_id, eq_type), rolling_window(now, hours)
     travel = trips(tables, scope, *window)
     work = facts(tables, "bi_eq_tran", scope, *window)
-    by_end = _hourly(travel, F.col("trv_etime"), F.sum("dist").alias("trv_dist")).drop("_rows")
-    by_completion = _hourly(work, F.col("last_job_cmpl_time"), F.sum("trv_dist").alias("trv_job_dist")).drop("_rows")
-    spine = hour_spine(key_spine(tables, scope, travel, work), now, hours)
-    rows = onto_hours(onto_hours(spine, by_end), by_completion)
+    by_end = travel.select(*KEYS, hour_floor(F.col("trv_etime")).alias("s_time"), F.col("dist").alias("trv_dist"))
+    by_completion = work.select(*KEYS, hour_floor(F.col("last_job_cmpl_time")).alias("s_time"), F.col("trv_dist").alias("trv_job_dist"))
+    both = by_end.unionByName(by_completion, allowMissingColumns=True)
+    sums = [F.sum(c).alias(c) for c in ("trv_dist", "trv_job_dist")]
+    rows = onto_hours(tables, scope, both.groupBy(*KEYS, "s_time").agg(*sums), now, hours)
     return rows.select(*HOUR_COLUMNS, *[whole(F.col(c)).alias(c) for c in ("trv_dist", "trv_job_dist")])
 
 
@@ -169,16 +171,17 @@ def cycle_time_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours), F.col("bi_jh_job_id").isNotNull())
     done = F.col("job_cmpl_time")
-    shown = jobs.where(in_bucket(done, now, hours)).select(*KEYS, "job_cmpl_time", "job_cycle_step")
+    steps = explode_steps(jobs.select(*KEYS, "job_cmpl_time", "job_cycle_step"), "job_cycle_step", *TIME_FIELDS, outer=True)
     seconds = whole(F.col("interval_sec"))
     hourly = _hourly(
-        explode_steps(shown, "job_cycle_step", *TIME_FIELDS),
+        steps,
         done,
+        F.col("step_no").isNotNull() & in_bucket(done, now, hours),
         _sum_when(is_working(), seconds, "working_time_sec"),
         _sum_when(is_waiting(), seconds, "waiting_time_sec"),
     )
-    spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
-    return onto_hours(spine, hourly).select(*HOUR_COLUMNS, "working_time_sec", *_zero_where_absent("waiting_time_sec"))
+    rows = onto_hours(tables, scope, hourly, now, hours)
+    return rows.select(*HOUR_COLUMNS, "working_time_sec", *_zero_where_absent("waiting_time_sec"))
 
 
 def cycle_time_by_job(
@@ -219,10 +222,9 @@ def laden_hourly(
     scope = Scope(tml_id, eq_type)
     work = facts(tables, "bi_eq_tran", scope, *rolling_window(now, hours), F.col("bi_et_event_step").isNotNull())
     done = F.col("last_job_cmpl_time")
-    shown = work.where(in_bucket(done, now, hours)).select(*KEYS, "last_job_cmpl_time", "event_step")
-    steps = explode_steps(shown, "event_step", *LADEN_FIELDS)
-    spine = hour_spine(key_spine(tables, scope, work), now, hours)
-    rows = onto_hours(spine, _hourly(steps, done, *_laden(F.col("step_dist"))))
+    steps = explode_steps(work.select(*KEYS, "last_job_cmpl_time", "event_step"), "event_step", *LADEN_FIELDS, outer=True)
+    hourly = _hourly(steps, done, F.col("step_no").isNotNull() & in_bucket(done, now, hours), *_laden(F.col("step_dist")))
+    rows = onto_hours(tables, scope, hourly, now, hours)
     return rows.select(*HOUR_COLUMNS, *_zero_where_absent("laden_dist", "unladen_dist"))
 
 
@@ -264,9 +266,8 @@ def fuel_hourly(
     travel = trips(tables, scope, *rolling_window(now, hours))
     begun, ended = F.col("trv_stime"), F.col("trv_etime")
     inside = in_bucket(begun, now, hours) & (hour_floor(begun) == hour_floor(ended)) & (ended <= bucket_end(begun, now))
-    hourly = _hourly(travel.where(inside), begun, F.sum(F.coalesce(F.col("fuel"), F.lit(0))).alias("fuel"))
-    spine = hour_spine(key_spine(tables, scope, travel), now, hours)
-    return onto_hours(spine, hourly).select(*HOUR_COLUMNS, *_zero_where_absent("fuel"))
+    hourly = _hourly(travel, begun, inside, F.sum(F.coalesce(F.col("fuel"), F.lit(0))).alias("fuel"))
+    return onto_hours(tables, scope, hourly, now, hours).select(*HOUR_COLUMNS, *_zero_where_absent("fuel"))
 
 
 def fuel_by_unit(
@@ -315,10 +316,9 @@ def execution_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours))
     done = F.col("job_cmpl_time")
-    hourly = _hourly(jobs.where(in_bucket(done, now, hours)), done, *_job_counts())
-    spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
+    hourly = _hourly(jobs, done, in_bucket(done, now, hours), *_job_counts())
     counts = _zero_where_absent("with_job_count", "without_job_count", "total_count")
-    return onto_hours(spine, hourly).select(*HOUR_COLUMNS, *counts)
+    return onto_hours(tables, scope, hourly, now, hours).select(*HOUR_COLUMNS, *counts)
 
 
 def execution_by_unit(

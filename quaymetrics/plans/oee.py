@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timeops import DayLike, TimeLike, ceil_minutes, day_range, elapsed, round_minutes
 from ..operators.intervals import pieces_with_contained
 from ..operators.sessions import STRICT, clamp_to_days
-from ..operators.spine import KEYS, UNIT, day_spine, key_spine
+from ..operators.spine import KEYS, UNIT, day_spine, spread
 from ..operators.steps import sum_of
 from ..operators.sweeps import UNIT_DAY, aggregate_inside
 from ..sources.config import SETTINGS, pivot_config
@@ -21,13 +21,15 @@ def _jobs_with_steps(tables: Tables, scope: Scope, first, last) -> DataFrame:
     return jobs_of_days(tables, scope, first, last, F.col("bi_jh_job_cycle_step").isNotNull())
 
 
-def _step_times(jobs: DataFrame, split_by_job: bool) -> DataFrame:
+def _step_times(jobs: DataFrame, split_by_job: bool, outer: bool = False) -> DataFrame:
     """Microseconds of cycle steps, summed per job. Split by job, time without a job is kept apart; otherwise all counts.
 
-    Jobs without steps have no row.
+    Jobs without steps have no row; with `outer` they have one without a day.
     """
     steps = parsed(jobs, "job_cycle_step", step_json("interval_sec", "activity_type")).alias("steps")
-    rows = jobs.select(*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", steps).where(F.size("steps") > 0)
+    rows = jobs.select(*UNIT_DAY, "job_id", "job_fetching_time", "job_cmpl_time", steps)
+    some = F.size("steps") > 0
+    rows = rows.withColumn("day", F.when(some, F.col("day"))) if outer else rows.where(some)
     every = sum_of("steps", lambda s: s["intervalSec"] * 1_000_000)
     waiting = sum_of("steps", lambda s: F.when(s["activityType"] == "Waiting", s["intervalSec"] * 1_000_000).otherwise(F.lit(0)))
     if split_by_job:
@@ -137,29 +139,44 @@ def oee_crane(
     return _session_report(tables, day, as_of, Scope(tml_id, eq_type), split_by_job=True)
 
 
+def _ran_per_key(tables: Tables, scope: Scope, first, last, as_of: TimeLike) -> DataFrame:
+    """Ignition of registered units: microseconds per key and day, and in rows without a day the number of units.
+
+    Units and sessions meet in one grouping per unit, so that both tables are read once.
+    """
+    units = scoped(tables, "bi_eq", scope).groupBy(*UNIT).agg(F.count("*").alias("units"))
+    ignition = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, STRICT)
+    on_micros = elapsed(F.col("on_time"), F.col("off_time")) * F.col("n")
+    ran = ignition.groupBy(*UNIT_DAY).agg(F.sum(on_micros).alias("micros"))
+    day = F.when(F.col("day").isNotNull(), F.struct("day", "micros"))
+    per_unit = (
+        ran.unionByName(units, allowMissingColumns=True)
+        .groupBy(*UNIT)
+        .agg(F.sum("units").alias("units"), F.collect_list(day).alias("days"))
+        .where("units is not null")
+    )
+    own = F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(None).cast("bigint").alias("micros")))
+    rows = per_unit.select(*KEYS, "units", F.explode(F.concat(own, "days")).alias("of"))
+    return rows.groupBy(*KEYS, F.col("of.day").alias("day")).agg(
+        F.sum(F.when(F.col("of.day").isNull(), F.col("units"))).alias("units"),
+        F.sum(F.col("of.micros") * F.col("units")).alias("micros"),
+    )
+
+
 def oee_tree(
     tables: Tables, day: DayLike, as_of: TimeLike, tml_id: str | None = None, eq_type: str | None = None
 ) -> DataFrame:
     """Six levels of time. Totals are rounded once; days without ignition or jobs keep a row of NULL minutes."""
     scope, (first, last) = Scope(tml_id, eq_type), day_range(day)
-    units = scoped(tables, "bi_eq", scope).select(*UNIT)
-    calendar = units.groupBy(*KEYS).agg((F.count("*") * 1440).alias("calendar"))
-    ignition = clamp_to_days(ignitions(tables, scope, first), first, last, as_of, STRICT)
-    on_micros = elapsed(F.col("on_time"), F.col("off_time")) * F.col("n")
-    ran = (
-        ignition.groupBy(*UNIT_DAY)
-        .agg(F.sum(on_micros).alias("micros"))
-        .join(units, UNIT)
-        .groupBy(*KEY_DAY)
-        .agg(round_minutes(F.sum("micros")).alias("ign"))
-    )
-    jobs = _jobs_with_steps(tables, scope, first, last)
-    worked = _step_times(jobs, split_by_job=True).groupBy(*KEY_DAY).agg(
-        *[round_minutes(F.sum(f"{name}_us")).alias(name) for name in ("job", "wait", "no_job")]
-    )
-    rows = day_spine(key_spine(tables, scope, jobs), first, last).join(calendar, KEYS, "left")
-    m = _with_config(rows.join(ran, KEY_DAY, "left").join(worked, KEY_DAY, "left"), tables, scope)
-    calendar = F.coalesce(F.col("calendar"), F.lit(0))
+    ran = _ran_per_key(tables, scope, first, last, as_of)
+    worked = _step_times(_jobs_with_steps(tables, scope, first, last), split_by_job=True, outer=True)
+    names = {"ign": "micros", "job": "job_us", "wait": "wait_us", "no_job": "no_job_us"}
+    both = ran.unionByName(worked.groupBy(*KEY_DAY).agg(*[F.sum(c).alias(c) for c in list(names.values())[1:]]), allowMissingColumns=True)
+    minutes = [round_minutes(F.sum(c)).alias(name) for name, c in names.items()]
+    seen = both.groupBy(*KEY_DAY).agg(F.sum("units").alias("units"), *minutes)
+    rows = spread(tables, scope, seen, "day", lambda keys: day_spine(keys, first, last), totals=("units",), registered=False)
+    m = _with_config(rows, tables, scope)
+    calendar = F.coalesce(F.col("units"), F.lit(0)) * 1440
     ign, job, wait, no_job = (F.col(c) for c in ("ign", "job", "wait", "no_job"))
     close, offline, unsch = F.col("tml_close_min"), F.col("offline_opr_delay_min"), F.col("unsch_down_time_min")
     sch, failure = F.col("sch_down_time_min"), F.col("tos_failure_online_min")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import container_length, counts_as_json
 from ..functions.timeops import TimeLike, hour_floor
 from ..operators.seq import numbered
-from ..operators.spine import KEYS, UNIT, hour_spine, key_spine, onto_hours, rolling_window
+from ..operators.spine import KEYS, UNIT, onto_hours, rolling_window
 from ..sources.schema import CONTAINER_JSON, parsed
 from ..sources.tables import Scope, Tables, facts, sorted_rows
 
@@ -44,8 +44,7 @@ def productivity_hourly(
     scope = Scope(tml_id, eq_type)
     jobs = facts(tables, "bi_job_hist", scope, *rolling_window(now, hours))
     hourly = counted(jobs.withColumn("s_time", hour_floor(F.col("job_cmpl_time"))), *KEYS, "s_time")
-    spine = hour_spine(key_spine(tables, scope, jobs), now, hours)
-    rows = onto_hours(spine, hourly)
+    rows = onto_hours(tables, scope, hourly, now, hours)
     return rows.select(*KEYS, F.col("s_time").alias("s_date"), F.col("e_time").alias("e_date"), "hour_step", *COUNTS)
 
 

@@ -28,7 +28,7 @@ from ..functions.timeops import (
 )
 from ..operators.intervals import contains_interval, hours_touched
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
-from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, unit_hours
+from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, spread, unit_hours
 from ..operators.sweeps import FRAME, UNIT_DAY, aggregate_inside, envelope_inside
 from ..sources.tables import Scope, Tables, facts, scoped, sessions, sorted_rows
 
@@ -152,7 +152,7 @@ def _session_summary(tables, source, day, as_of, tml_id, eq_type, name: str, cla
         F.sum(ceil_minutes(span(F.col("on_time"), F.col("off_time")))).alias(name),
         F.sum(ceil_minutes(span(F.col("work_start"), F.col("work_end")))).alias("job_performed_time_min"),
     )
-    return day_spine(key_spine(tables, scope, cut), first, last).join(totals, KEY_DAY, "left")
+    return spread(tables, scope, totals, "day", lambda keys: day_spine(keys, first, last))
 
 
 def _session_list(tables, source, day, as_of, tml_id, eq_type, labels: tuple[str, str, str], minutes) -> DataFrame:
@@ -289,7 +289,7 @@ def break_summary(
         F.sum(round_minutes(span(F.col("on_time"), F.col("off_time")))).alias("ign_time_min"),
         F.sum(round_minutes(span(F.col("first_in"), F.col("last_out")))).alias("brk_end_time_min"),
     )
-    return day_spine(key_spine(tables, scope, cut), first, last).join(totals, KEY_DAY, "left")
+    return spread(tables, scope, totals, "day", lambda keys: day_spine(keys, first, last))
 
 
 def break_by_session(

@@ -160,6 +160,29 @@ def test_lists_read_the_jobs_once(spark, derived, tmp_path, report):
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
+def test_hourly_and_day_reports_read_every_table_once(spark, derived, tmp_path):
+    stored = _stored(spark, derived, tmp_path)
+    reports = [report(stored, NOW) for report in HOURLY]
+    reports += [r(stored, ("2024-01-10", "2024-01-13"), AS_OF) for r in (oee.oee_tree, u.ignition_summary, u.login_summary, u.break_summary)]
+    for df in reports:
+        df._jdf.collectToPython()
+        read = re.findall(r"FileScan parquet \[(bi_[a-z]+)_", plan_of(df).split("Initial Plan")[0])
+        assert read and len(read) == len(set(read)), read
+
+
+def test_keys_seen_only_in_facts_without_steps_or_hours_get_their_rows(make):
+    late = {"job_cmpl_time": "10:00", "job_id": "J", "job_cycle_step": "[]", "trv_with_eta": "[]"}
+    early = {"job_cmpl_time": "04:31", "eq_type": "RTG", "job_id": "K", "job_cycle_step": "[]", "trv_with_eta": "[]"}  # before the first bucket
+    tables = make(bi_eq=[{"eq_type": "QC"}], bi_job_hist=[{**late, "eq_type": "YT"}, early])
+    for report in (x.travel_eff_hourly, x.cycle_time_hourly, x.execution_hourly, productivity.productivity_hourly):
+        got = report(tables, "2024-01-10 10:30:00").groupBy("eq_type").count().collect()
+        assert {r["eq_type"]: r["count"] for r in got} == {"QC": 6, "YT": 6, "RTG": 6}
+    hour = x.cycle_time_hourly(tables, "2024-01-10 10:30:00").where("eq_type = 'YT'").collect()
+    assert {(r.working_time_sec, r.waiting_time_sec) for r in hour} == {(None, 0)}
+    tree = {r.eq_type: (r.calendar_time_min, r.toc_min) for r in oee.oee_tree(tables, "2024-01-10", "2024-01-10 18:00:00").collect()}
+    assert tree == {"QC": (1440, None), "YT": (0, None), "RTG": (0, None)}
+
+
 def test_building_a_report_starts_no_job(spark):
     spark.sparkContext.setJobGroup("building", "plans only")
     try:
