@@ -1,9 +1,12 @@
 """Benchmark decontamination: find every window of benchmark words in the documents, then drop documents or cut spans.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A benchmark item gives all windows of
-ten consecutive words; a shorter item is one window of its own length. Documents look their windows up in a hash table
-of the benchmark's; a hit is verified word by word. The table is broadcast while it holds at most `broadcast_windows`
-windows (about 200 bytes each); a larger benchmark is joined by a shuffle on the hash, with the same result.
+ten consecutive words; a shorter item is one window of its own length.
+
+Documents look the hashes of their windows up in a broadcast set of the benchmark's hashes, kept as a blocked Bloom filter: at
+most 2**`CELL_BITS` cells of 64 bits, whatever the benchmark's size, with four bits of one cell a window. What it lets through
+takes its own words along, no others, and is joined with the benchmark's windows on hash and words; Spark broadcasts these or
+shuffles, by size. False hits end there: about one window in 10,000 for a million benchmark windows, one in 20 for ten million.
 
 Defined cases: null and wordless texts and items have no words and no hits; repeated items count once by item_id; rows
 equal in doc_id and text get the same result; null item_ids are not named among the items, but their windows hit.
@@ -14,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import ascii_lower, row_key, same_row, words
+from quaymetrics.llm.common import ascii_lower, row_key, same_row, stage, words
 
 WINDOW = 10
-BROADCAST_WINDOWS = 200_000
+#: The set of hashes has at most 2**CELL_BITS cells (about 70 MB broadcast).
+CELL_BITS = 20
 #: What stands between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -49,14 +53,25 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
+def _cell(h: Column, cell_bits: int) -> Column:
+    return h.bitwiseAND(F.lit((1 << cell_bits) - 1))
+
+
+def _bits(h: Column) -> Column:
+    """Four of 64 bits, by the four topmost groups of six bits of the hash."""
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return one(40).bitwiseOR(one(46)).bitwiseOR(one(52)).bitwiseOR(one(58))
+
+
+def _sieve(grams: DataFrame, cell_bits: int) -> DataFrame:
+    """The hashes as cells and their bits, 2**cell_bits rows at most."""
+    return grams.groupBy(_cell(F.col("h"), cell_bits).alias("cell")).agg(F.bit_or(_bits(F.col("h"))).alias("bits"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, cell_bits: int) -> DataFrame:
     """Per row key with hits: spans (at, length) in words, sorted, and the item_ids."""
-    grams = item_windows(benchmark, window)
-    # one small job over the benchmark: the lengths that occur (at most `window`) and the size of the table
-    sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.sum(F.greatest(F.size("items"), F.lit(1))).alias("n")).collect()}
-    lengths = sorted(sizes) or [window]
-    if sum(sizes.values()) <= broadcast_windows:
-        grams = F.broadcast(grams)
+    grams = stage(item_windows(benchmark, window), "benchmark-windows")
+    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect()) or [window]  # at most `window`
     slot = F.col("slot") % len(lengths)
     at = F.floor(F.col("slot") / len(lengths)).cast("int") if len(lengths) > 1 else F.col("slot")
     size = F.size("hashes")
@@ -73,10 +88,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_windows:
         .withColumn("at", at)
         .select("id", "digest", "words", "at", found.alias("found"), length.alias("n"))
     )
-    same = (F.col("found") == grams["h"]) & (F.col("n") == grams["length"])
-    verified = F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ") == grams["gram"]
+    held = _bits(F.col("found"))
+    passed = (
+        places.join(F.broadcast(_sieve(grams, cell_bits)), (_cell(F.col("found"), cell_bits) == F.col("cell")) & (held.bitwiseAND(F.col("bits")) == held))
+        .select("id", "digest", "at", "found", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("own"))
+    )
+    # a hash with its length in words says nothing that hash and words don't
     return (
-        places.join(grams, same & verified)
+        passed.join(grams, (F.col("found") == grams["h"]) & (F.col("own") == grams["gram"]))
         .groupBy("id", "digest")
         .agg(
             F.sort_array(F.collect_set(F.struct("at", "length"))).alias("spans"),
@@ -98,10 +117,10 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cell_bits: int = CELL_BITS
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted item_ids, comma-joined), contaminated."""
-    hits = _hits(docs, benchmark, window, broadcast_windows)
+    hits = _hits(docs, benchmark, window, cell_bits)
     counted = docs.select(*row_key(), F.size(words(F.col("text"), BETWEEN)).cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long")
@@ -112,19 +131,19 @@ def contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cell_bits: int = CELL_BITS
 ) -> DataFrame:
     """The rows of docs without any hit."""
-    hits = _hits(docs, benchmark, window, broadcast_windows).select("id", "digest")
+    hits = _hits(docs, benchmark, window, cell_bits).select("id", "digest")
     rows = docs.select(F.struct("*").alias("row"), *row_key())
     return rows.join(hits, same_row(rows, hits), "left_anti").select("row.*")
 
 
 def cut_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cell_bits: int = CELL_BITS
 ) -> DataFrame:
     """docs with every hit word, and what stands between words of one span, cut out of the texts."""
-    hits = _hits(docs, benchmark, window, broadcast_windows).select("id", "digest", "spans")
+    hits = _hits(docs, benchmark, window, cell_bits).select("id", "digest", "spans")
     rows = docs.select(F.struct("*").alias("row"), *row_key())
     # words at odd places, what stands between them at even ones; both ends are gaps, perhaps empty
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

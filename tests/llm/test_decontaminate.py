@@ -50,14 +50,30 @@ def cases():
     return docs, items
 
 
-def test_equals_brute_force_with_and_without_broadcast(spark, make_docs):
+def test_equals_brute_force_whatever_the_set_lets_through(spark, make_docs):
     docs, items = cases()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for most in (200_000, 0):
-        got = contamination(make_docs(docs).repartition(3), benchmark, broadcast_windows=most)
+    for cell_bits in (20, 2, 0):  # with four cells and with one, nearly all windows are false hits
+        got = contamination(make_docs(docs).repartition(3), benchmark, cell_bits=cell_bits)
         assert sorted(values(got), key=str) == brute(docs, items)
 
 
+def test_no_word_arrays_are_shuffled_also_without_broadcasts(spark, make_docs):
+    docs, items = cases()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted(values(got), key=str) == brute(docs, items)
+        plan = got._jdf.queryExecution().optimizedPlan()
+        joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+        assert len(joins) >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what goes into the exchange of the windows: key, place, hash and own words
+    shuffled = [re.sub(r"#\d+L?", "", line) for line in plan.toString().splitlines() if "AS own" in line]
+    assert len(shuffled) == 1 and re.search(r"Project \[id, digest, at, found, array_join\(slice\(words.*AS own\]", shuffled[0]), shuffled
+
+
 def test_dropping_and_cutting(spark, make_docs):
     docs, items = cases()
     made, benchmark = make_docs(docs), spark.createDataFrame(items, "item_id long, text string")
