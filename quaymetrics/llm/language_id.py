@@ -7,9 +7,11 @@ neighbours on the path form a span. A text's language is that of the spans with
 share of the letters of all spans.
 
 Training takes a bounded sample: for each language about `PER_LANGUAGE` rows, those with the least hash of doc_id, in
-whole texts. At most `LANGUAGES` languages are learned, the most frequent ones. Every row is labelled, whole.
+whole texts. Every language that has a training row is learned, however rare; the model takes 256 KB a language, and all tasks
+hold it. Every row is labelled, whole.
 
-Defined cases: null texts, and texts without any letter, are `und` with score 0 and no spans; where nothing was learned all
+Defined cases: null texts, and texts without any letter, are `und` with score 0 and no spans (digits, number forms such as
+`½` and `Ⅷ`, and combining marks are no letters); where nothing was learned all
 texts are `und`; words without letters join the span that they stand in; of equal shares the smaller name wins; a
 null doc_id never trains; rows equal in all columns are rows of their own; other columns don't matter.
 """
@@ -29,15 +31,16 @@ from quaymetrics.llm.common import ship
 
 UND = "und"
 PER_LANGUAGE = 3000
-LANGUAGES = 200
 #: Natural-log cost of a change of language between two words.
 SWITCH = 6.0
 BUCKET_BITS = 16
 SMOOTHING = 0.1
 #: A language uses a script that at least this share of its training letters is in.
 SCRIPT_SHARE = 0.02
-#: Bytes of text that are scored at once.
+#: Characters of text that are scored at once, for up to eight languages; fewer for more.
 CHUNK = 1 << 21
+#: Languages that a training task counts before it hands their counts on.
+COUNTED = 64
 
 #: Scripts by ranges of code points (first, last); letters in no range are script 0.
 SCRIPTS = {
@@ -59,7 +62,7 @@ SCRIPTS = {
 _RANGES = sorted((lo, hi, k) for k, spans in enumerate(SCRIPTS.values(), 1) for lo, hi in spans)
 _EDGES = np.array([x for lo, hi, _ in _RANGES for x in (lo, hi + 1)])
 _KINDS = np.array([0] + [x for _, _, k in _RANGES for x in (k, 0)])
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _MUL = np.uint32(0x9E3779B1)
 
 
@@ -100,6 +103,11 @@ def _alpha(points: np.ndarray) -> np.ndarray:
     return np.array([chr(c).isalpha() for c in distinct.tolist()])[back]
 
 
+def _has_letter(text: str) -> bool:
+    """As letters are counted in _words()."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, set(text)))
+
+
 def _buckets(data: np.ndarray) -> list[np.ndarray]:
     """Hashed 3-grams and 4-grams at each byte, A-Z lower-cased; grams do not reach beyond the data."""
     lowered = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
@@ -122,10 +130,10 @@ def _grams_in_words(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """docs: doc_id, text, lang. Gram counts are added up by Spark; languages x buckets numbers reach the driver."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     names = sorted(r["lang"] for r in sizes)
     share = {r["lang"]: min(1.0, per_language / r["n"]) for r in sizes}
     n_scripts = len(SCRIPTS) + 1
@@ -134,22 +142,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     # the sample is spread evenly over hashes of doc_id: those below a language's share
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    sample = known.where(F.col("lang").isin(names) & (place < limits[F.col("lang")])).select("lang", "text")
+    sample = known.where(place < limits[F.col("lang")]).select("lang", "text")
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(names)}
-        grams = np.zeros((len(names), 1 << BUCKET_BITS), np.int64)
-        scripts = np.zeros((len(names), n_scripts), np.int64)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for lang, tables in held.items():
+                for kind, table in enumerate(tables):
+                    at = np.flatnonzero(table)
+                    columns = [np.full(len(at), kind, np.int32), np.full(len(at), number[lang], np.int32), at.astype(np.int32), table[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "lang", "at", "n"])
+            held.clear()
+
         for part in parts:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if lang not in held:
+                    if len(held) == COUNTED:
+                        yield from handed_on()
+                    held[lang] = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(n_scripts, np.int64)
+                grams, scripts = held[lang]
                 data, _, counts = _words([text])
-                scripts[number[lang]] += counts.sum(axis=0)
+                scripts += counts.sum(axis=0)
                 for buckets, _ in _grams_in_words(data):
-                    grams[number[lang]] += np.bincount(buckets, minlength=1 << BUCKET_BITS)
-        for kind, table in enumerate((grams, scripts)):
-            lang, at = np.nonzero(table)
-            columns = [pa.array(np.full(len(at), kind, np.int32)), pa.array(lang.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(table[lang, at])]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "lang", "at", "n"])
+                    grams += np.bincount(buckets, minlength=1 << BUCKET_BITS)
+        yield from handed_on()
 
     sums = sample.mapInArrow(counted, "kind int, lang int, at int, n long").groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toPandas()
     tables = [np.zeros((len(names), 1 << BUCKET_BITS)), np.zeros((len(names), n_scripts))]
@@ -222,12 +240,12 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 def label_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, score and spans (lang, first word, words) of each text."""
     langs, shares, spans = [UND] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-    rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.names else []
-    held, size = [], 0
+    rows = [i for i, t in enumerate(texts) if t and _has_letter(t)] if model.names else []
+    held, size, most = [], 0, CHUNK * 8 // max(8, len(model.names))
     for k, i in enumerate(rows):
         held.append(i)
         size += len(texts[i])
-        if size < CHUNK and k < len(rows) - 1:
+        if size < most and k < len(rows) - 1:
             continue
         data, owner, counts = _words([texts[j] for j in held])
         label = viterbi(_word_scores(model, data, counts), owner, len(held))

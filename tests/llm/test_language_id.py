@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 from conftest import SF
@@ -28,6 +31,76 @@ def test_held_out_rows_and_other_columns_teach_nothing(spark):
     assert sorted(map(str, li.language_report(wrong).collect())) == before
 
 
+def loops(rows):
+    """language_report() by plain loops. rows: (doc_id, text, lang), all of them in the training sample but the held-out ones."""
+    bits = 32 - li.BUCKET_BITS
+    script = lambda c: next((k for k, spans in enumerate(li.SCRIPTS.values(), 1) if any(lo <= ord(c) <= hi for lo, hi in spans)), 0)
+
+    def grams(word):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in f" {word} ".encode())
+        three = [(int.from_bytes(data[k : k + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> bits for k in range(len(data) - 2) if 32 not in data[k + 1 : k + 2]]
+        four = [((int.from_bytes(data[k : k + 4], "little") ^ 0x5BD1E995) * 0x9E3779B1 & 0xFFFFFFFF) >> bits for k in range(len(data) - 3) if 32 not in data[k + 1 : k + 3]]
+        return three + four
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    counts, scripts = {}, {}
+    for i, text, lang in rows:
+        if None not in (i, text, lang) and not held(i):
+            counts.setdefault(lang, Counter()).update(g for w in text.split() for g in grams(w))
+            scripts.setdefault(lang, Counter()).update(script(c) for c in text if c.isalpha())
+    names = sorted(counts)
+    log = {n: lambda g, c=counts[n]: math.log((c[g] + li.SMOOTHING) / (c.total() + li.SMOOTHING * (1 << li.BUCKET_BITS))) for n in names}
+    used = {n: {s for s, k in scripts[n].items() if k >= li.SCRIPT_SHARE * scripts[n].total()} for n in names}
+    out = []
+    for i, text, _ in rows:
+        words = (text or "").split()
+        share, best = Counter(), None
+        if any(c.isalpha() for c in text or "") and names:
+            paths = None
+            for w in words:
+                own = Counter(script(c) for c in w if c.isalpha())
+                main = min(own, key=lambda s: (-own[s], s)) if own else None
+                fit = [n for n in names if main in used[n]] or names
+                score = {n: 0.0 if not own else sum(map(log[n], grams(w))) if n in fit else -math.inf for n in names}
+                if paths is None:
+                    paths = {n: (score[n], [n]) for n in names}
+                    continue
+                top = max(names, key=lambda n: paths[n][0])
+                came = {n: paths[n] if paths[n][0] >= paths[top][0] - li.SWITCH else (paths[top][0] - li.SWITCH, paths[top][1]) for n in names}
+                paths = {n: (came[n][0] + score[n], [*came[n][1], n]) for n in names}
+            for w, n in zip(words, max(paths.values(), key=lambda p: p[0])[1], strict=True):
+                share[n] += sum(c.isalpha() for c in w)
+            best = min(share, key=lambda n: (-share[n], n))
+        out.append((i, held(i), best or li.UND, round(share[best] / share.total(), 9) if best else 0.0))
+    return sorted(out, key=str)
+
+
+def test_whole_query_equals_plain_loops(spark):
+    rng = random.Random(9)
+    vocabulary = {"en": "the cat And dog with that thing over there", "de": "die Katze und der Hund mit dem Ding dort", "ru": "это кошка и собака с этим там", "el": "αυτό είναι μια γάτα και ένας σκύλος"}
+    rows = []
+    for k in range(90):
+        lang = rng.choice(list(vocabulary))
+        words = [rng.choice(vocabulary[lang].split()) for _ in range(rng.randrange(1, 30))]
+        if k % 4 == 0:  # a span of another language
+            words += [rng.choice(vocabulary[rng.choice(list(vocabulary))].split()) for _ in range(rng.randrange(12))]
+        rows.append((k if k % 30 else None, " ".join([*words, *["12", "—"] * (k % 3)]), lang if k % 7 else None))
+    rows += [(200 + k, t, None) for k, t in enumerate([None, "", " ", "½ ² Ⅷ", "①", "\u0301\u0308", "12 !", "日本", "x" * 500, "ªº", "ǅ"])] + [rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in li.language_report(docs).collect()]
+    assert sorted(got, key=str) == loops(rows)
+
+
+def test_every_language_is_learned_however_many(spark):
+    languages = 3 * li.COUNTED + 20
+    word = lambda k: "".join(chr(97 + int(d)) * 2 for d in f"{k:03d}")
+    rows = [(k, " ".join([word(k)] * 20), f"l{k:03d}") for k in range(languages)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1))
+    assert model.names == [r[2] for r in rows]
+    langs, _, _ = li.label_texts(model, [r[1] for r in rows])
+    assert langs == model.names
+
+
 def small_model():
     texts = {"en": "the cat and the dog with that thing ", "ru": "это кошка и собака с этим ", "de": "die katze und der hund mit dem ding "}
     grams = np.zeros((3, 1 << li.BUCKET_BITS))
