@@ -34,6 +34,8 @@ from quaymetrics.llm.common import ship, stage
 #: Words in the broadcast list at most.
 HEAD = 100_000
 PRIOR = 16_000.0
+#: Bytes of a long word whose pieces are looked up at once.
+PIECE = 1 << 15
 #: Where a word begins, in the vocabulary's writing.
 START = "▁".encode()
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,6 +66,11 @@ def prior_counts(model: str) -> np.ndarray:
     return PRIOR * share / share.sum()
 
 
+def _log_sum(logs: list[float]) -> float:
+    best = max(logs, default=-math.inf)
+    return best + math.log(sum(math.exp(x - best) for x in logs)) if best > -math.inf else best
+
+
 class Lattice:
     """Log10-probabilities of words over all their segmentations."""
 
@@ -108,9 +115,9 @@ class Lattice:
     def _equally_long(self, words: list[bytes]) -> np.ndarray:
         size = len(words[0])
         texts = np.frombuffer(b"".join(w + bytes(8) for w in words), np.uint8).reshape(len(words), size + 8)
-        arcs = dict(self._arcs(texts))
         if len(words) < 8:  # one by one, along the pieces that there are
-            return np.array([self._along({n: a[i] for n, a in arcs.items()}, size) for i in range(len(words))])
+            return self._along(texts)
+        arcs = dict(self._arcs(texts))
         forward = np.full((size + 1, len(words)), -np.inf)
         forward[0] = 0
         for end in range(1, size + 1):
@@ -121,19 +128,29 @@ class Lattice:
                 forward[end] = level + np.log(sum(np.exp(w - level) for w in ways))
         return forward[size]
 
-    @staticmethod
-    def _along(arcs: dict[int, np.ndarray], size: int) -> float:
-        into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for n, logs in arcs.items():
-            for start in np.flatnonzero(np.isfinite(logs)).tolist():
-                into[start + n].append((start, float(logs[start])))
-        forward = [0.0] + [-math.inf] * size
-        for end in range(1, size + 1):
-            ways = [forward[start] + log for start, log in into[end]]
-            best = max(ways, default=-math.inf)
-            if best > -math.inf:
-                forward[end] = best + math.log(sum(math.exp(w - best) for w in ways))
-        return forward[size]
+    def _along(self, texts: np.ndarray) -> np.ndarray:
+        """A few equally long words, in stretches of PIECE bytes: ways into the places of one stretch are held at a time."""
+        size, reach = texts.shape[1] - 8, max(self.tables)
+        ways: list[list[list[float]]] = [[[0.0]] + [[] for _ in range(reach)] for _ in texts]
+        for at in range(0, size, PIECE):
+            here = min(PIECE, size - at)
+            stretch = np.zeros((len(texts), min(here + reach, size - at) + 8), np.uint8)
+            stretch[:, :-8] = texts[:, at : at + stretch.shape[1] - 8]
+            arcs = {n: a[:, :here] for n, a in self._arcs(stretch)}
+            for k, into in enumerate(ways):
+                into += [[] for _ in range(here)]
+                out: list[list[tuple[int, float]]] = [[] for _ in range(here)]
+                for n, logs in arcs.items():
+                    for start in np.flatnonzero(np.isfinite(logs[k])).tolist():
+                        out[start].append((n, float(logs[k, start])))
+                for start in range(here):
+                    forward = _log_sum(into[start])
+                    into[start] = []
+                    if forward > -math.inf:
+                        for n, log in out[start]:
+                            into[start + n].append(forward + log)
+                del into[:here]
+        return np.array([_log_sum(into[0]) for into in ways])
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         marked = [START + w for w in words]

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -48,6 +51,36 @@ def test_the_public_vocabulary_gives_every_word_a_probability():
     assert np.allclose(pairs, lattice.log10(["ñandú".encode()]))
 
 
+def test_stretches_of_a_long_word_change_nothing(monkeypatch):
+    prior = lm_score.prior_counts(VOCABULARY)
+    with np.errstate(divide="ignore"):
+        lattice = lm_score.Lattice(lm_score.vocabulary(VOCABULARY), np.log(prior[:-1] / prior.sum()))
+    words = [b"internationalisation" * k for k in (1, 7, 30)] + ["日本語の文章".encode() * 9, b"x" * 500, b"ab" * 250]
+    whole = lattice.log10(words)
+    assert np.allclose(whole, np.concatenate([lattice.log10([w] * 9)[:1] for w in words]), rtol=1e-12)  # by columns
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(lm_score, "PIECE", piece)
+        assert np.allclose(lattice.log10(words), whole, rtol=1e-12)
+
+
+def test_a_word_of_megabytes_needs_little_memory():
+    script = f"""
+import resource, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import numpy as np
+from quaymetrics.llm import lm_score
+from quaymetrics.llm.queries import VOCABULARY
+prior = lm_score.prior_counts(VOCABULARY)
+with np.errstate(divide="ignore"):
+    lattice = lm_score.Lattice(lm_score.vocabulary(VOCABULARY), np.log(prior[:-1] / prior.sum()))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert np.isfinite(lattice.log10([bytes(range(65, 91)) * 80_000])).all()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout
+    assert int(grown) < 200_000  # KB, for 2 MB of text
+
+
 def brute_base(rows):
     words = [(t or "").encode().lower().split() for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
