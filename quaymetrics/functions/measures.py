@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .timeops import ceil_minutes, hour_floor, span
+from .timeops import HOUR, ceil_minutes, floor_to, micros
 
 
 def container_length(iso: Column) -> Column:
@@ -28,13 +28,18 @@ def running_minutes(work_start: Column, work_end: Column, start: Column, end: Co
 
     With per_hour they are counted from the start of the bucket or of the work, whichever is later.
     """
+    return running_minutes_us(*(micros(t) for t in (work_start, work_end, start, end)), per_hour)
+
+
+def running_minutes_us(work_start: Column, work_end: Column, start: Column, end: Column, per_hour: bool = False) -> Column:
+    """running_minutes() of instants in microseconds."""
     if per_hour:
         begun, ended = F.greatest(work_start, start), F.least(work_end, end)
         known = work_start.isNotNull() & work_end.isNotNull()
-        return F.when(known & (begun <= ended), ceil_minutes(span(begun, ended)))
-    started = start >= hour_floor(work_start)
-    return F.when(started & (end < work_end), ceil_minutes(span(work_start, end))).when(
-        started & work_end.between(start, end), ceil_minutes(span(work_start, work_end))
+        return F.when(known & (begun <= ended), ceil_minutes(ended - begun))
+    started = start >= floor_to(work_start, HOUR)
+    return F.when(started & (end < work_end), ceil_minutes(F.abs(end - work_start))).when(
+        started & work_end.between(start, end), ceil_minutes(F.abs(work_end - work_start))
     )
 
 

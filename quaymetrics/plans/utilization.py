@@ -11,8 +11,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import running_minutes, within
+from ..functions.measures import running_minutes, running_minutes_us, within
 from ..functions.timeops import (
+    HOUR,
     DayLike,
     TimeLike,
     ceil_hours,
@@ -21,14 +22,15 @@ from ..functions.timeops import (
     day_range,
     day_start,
     elapsed,
-    hour_floor,
+    floor_to,
     hour_number,
+    micros,
     round_minutes,
     span,
 )
-from ..operators.intervals import contains_interval, hours_touched
+from ..operators.intervals import contains_interval
 from ..operators.sessions import LOOSE, LOOSE_NOW, clamp_to_days
-from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, span_hours, spread, unit_hours
+from ..operators.spine import KEYS, UNIT, day_spine, in_days, key_spine, spread, unit_hours
 from ..operators.sweeps import FRAME, UNIT_DAY, aggregate_inside, envelope_inside
 from ..sources.tables import Scope, Tables, facts, scoped, sessions, sorted_rows
 
@@ -170,34 +172,78 @@ def _session_list(tables, source, day, as_of, tml_id, eq_type, labels: tuple[str
     )
 
 
-def _span_hours_of(cut: DataFrame) -> DataFrame:
-    """Hour rows over each unit's day, from its first session start to its last session end."""
-    spans = cut.groupBy(*UNIT_DAY).agg(F.min("on_time").alias("first_on"), F.max("off_time").alias("last_off"))
-    gap = ceil_hours(span(F.col("first_on"), F.col("last_off")))
-    return span_hours(spans, gap, F.col("first_on"), F.col("last_off")).select(*UNIT_DAY, "hour_seq", "start_time", "end_time")
+def _day_spans(cut: DataFrame, *also: Column) -> DataFrame:
+    """Per unit and day, from the first session start to the last session end in microseconds, and the hours between."""
+    spans = cut.groupBy(*UNIT_DAY).agg(F.min("on_time").alias("_on"), F.max("off_time").alias("_off"), *also)
+    spans = spans.withColumns({"first_us": micros(F.col("_on")), "last_us": micros(F.col("_off"))}).drop("_on", "_off")
+    return spans.withColumn("gap", ceil_hours(F.abs(F.col("last_us") - F.col("first_us"))).cast("int"))
 
 
-def _running_in_hours(
-    hours: DataFrame, spans: DataFrame, alike: DataFrame, start: str, end: str, also: list[Column]
-) -> DataFrame:
-    """Left join of hour rows (start_time) with the spans (from column `start` to `end`) that touch their clock hour.
+def _hours_met(start: str, end: str) -> list[Column]:
+    """Clock hours of a day with a row from column `start` to `end` in it (_met), and such that one goes on after (_passed).
+
+    Bit h of a number stands for hour h of the day, so a unit's day has one row, however many hours it has. Reversed
+    rows meet no hour.
+    """
+    first = hour_number(day_start(F.col("day")))
+    low, high = ((hour_number(F.col(c)) - first).cast("int") for c in (start, end))
+
+    def below(hour: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), hour)
+
+    return [F.bit_or(F.when(low <= high, below(to) - below(low))).alias(name) for to, name in ((high + 1, "_met"), (high, "_passed"))]
+
 
-    The matches are an inner join, so that adaptive execution may split either side of a crowded hour. Hours without a match
-    are found by sums per unit and hour over `alike`, which has the spans' bounds and what the conditions `also` need.
+def _in_hours(spans: DataFrame, running: DataFrame, start: str, end: str, to_last: bool) -> DataFrame:
+    """Left join of the hour rows of unit days (_day_spans() with _hours_met()) with the rows running in their clock hour.
+
+    The first hour row lacks rows whose last hour it is, unless it starts on the clock or they count `to_last`.
+
+    Rows meet their unit's day by an inner join with one row on the other side and are dealt to its hours only then. Hours
+    without a row are those whose bit is not set. Times of hours are microseconds, start_us and end_us.
     """
-    keys = [*UNIT_DAY, "_hour"]
-    hours = hours.withColumn("_hour", hour_number(F.col("start_time")))
+    spans = spans.withColumn("hour_us", floor_to(F.col("first_us"), HOUR))
+    begun = F.col("first_us") != F.col("hour_us")
+    seq, gap, hour_us = F.col("hour_seq"), F.col("gap"), F.col("hour_us")
+
+    def listed(rows: DataFrame, *extra: str) -> DataFrame:
+        low, high = hour_us + (seq - 1) * HOUR, hour_us + seq * HOUR - 1000
+        bounds = F.when(seq == 1, F.col("first_us")).otherwise(low), F.when(seq == gap, F.col("last_us")).otherwise(high)
+        return rows.select(*UNIT_DAY, "hour_seq", bounds[0].alias("start_us"), bounds[1].alias("end_us"), *extra)
+
+    def number(t: str) -> Column:
+        """Which hour row the clock hour of t has."""
+        return ((floor_to(micros(F.col(t)), HOUR) - hour_us) / HOUR + 1).cast("int")
+
+    pairs = spans.join(running, UNIT_DAY).withColumns({"_low": number(start), "_high": number(end)})
+    low, high = F.greatest("_low", F.lit(1)), F.least("_high", gap)
+    some = (F.col("_low") <= F.col("_high")) & (low <= high)
+    if not to_last:
+        some &= (F.col("_high") > 1) | ~begun
+    matches = listed(pairs.withColumn("hour_seq", F.explode(F.when(some, F.sequence(low, high)))), *[c for c in running.columns if c not in UNIT_DAY])
+
+    bits = F.col("_met") if to_last else F.when((seq == 1) & begun, F.col("_passed")).otherwise(F.col("_met"))
+    # a span of reversed sessions may go on after its day, where no bit is set
+    hours = spans.withColumn("_hour", ((hour_us - micros(day_start(F.col("day")))) / HOUR).cast("int"))
+    hours = hours.withColumn("hour_seq", F.explode(F.when(gap >= 1, F.sequence(F.lit(1), gap))))
+    met = F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("bigint")), F.col("_hour") + seq - 1) % 2 == 1
+    return matches.unionByName(listed(hours.where(~met)), allowMissingColumns=True)
+
+
+def _hour_columns(prefix: str, label_start: str, label_end: str, minutes: str, per_hour: bool) -> list[Column]:
+    """Bounds and work columns of the rows of _in_hours(), with work_start and work_end and the same in microseconds."""
+    start, end, begun, done = (F.col(c) for c in ("start_us", "end_us", "work_start_us", "work_end_us"))
+    return [
+        F.timestamp_micros(start).cast("timestamp_ntz").alias(f"{prefix}_start_time"),
+        F.timestamp_micros(end).cast("timestamp_ntz").alias(f"{prefix}_end_time"),
+        F.when(begun.between(start, end), F.col("work_start")).alias(label_start),
+        F.when(done.between(start, end), F.col("work_end")).alias(label_end),
+        running_minutes_us(begun, done, start, end, per_hour).alias(minutes),
+    ]
 
-    def touched(df: DataFrame) -> DataFrame:
-        return df.withColumn("_hour", F.explode(hours_touched(F.col(start), F.col(end))))
 
-    h, r = hours.alias("h"), touched(spans).alias("r")
-    same = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in keys]
-    extra = [F.col(f"r.{c}") for c in spans.columns if c not in UNIT_DAY]
-    matches = h.join(r, [*same, *also]).select("h.*", *extra)
-    last = [F.max("_last_hour").alias("_last_hour")] if also else [F.lit(True).alias("_any")]
-    busy = touched(alike).groupBy(*keys).agg(*last).alias("r")
-    return matches.unionByName(h.join(busy, [*same, *also], "left_anti"), allowMissingColumns=True)
+def _in_micros(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"{c}_us": micros(F.col(c)) for c in ("work_start", "work_end")})
 
 
 def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: str, per_hour: bool) -> DataFrame:
@@ -207,15 +253,11 @@ def _session_hours(tables, source, day, eq_no, as_of, tml_id, eq_type, prefix: s
     """
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
     cut = clamp_to_days(source(tables, scope, first), first, last, as_of, LOOSE)
-    worked = _worked_sessions(tables, cut, scope, first, last)
-    running = worked.select(*FRAME, hour_floor(F.col("off_time")).alias("_last_hour"), "work_start", "work_end")
-    last_hours = cut.select(*FRAME, hour_floor(F.col("off_time")).alias("_last_hour"))
-    rows = _running_in_hours(
-        _span_hours_of(cut), running, last_hours, "on_time", "off_time", [F.col("r._last_hour") >= F.col("h.start_time")]
-    )
-    work = _work_in_hour("job_start_time", "job_end_time", "job_performed_time_min", per_hour)
-    bounds = [F.col(c).alias(f"{prefix}_{c}") for c in ("start_time", "end_time")]
-    return sorted_rows(rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work), scope, *KEY_DAY, "eq_no", "hour_seq")
+    running = _in_micros(_worked_sessions(tables, cut, scope, first, last))
+    spans = _day_spans(cut, *_hours_met("on_time", "off_time"))
+    rows = _in_hours(spans, running, "on_time", "off_time", to_last=False)
+    work = _hour_columns(prefix, "job_start_time", "job_end_time", "job_performed_time_min", per_hour)
+    return sorted_rows(rows.select(*KEY_DAY, "hour_seq", "eq_no", *work), scope, *KEY_DAY, "eq_no", "hour_seq")
 
 
 def ignition_summary(
@@ -322,12 +364,14 @@ def break_hours(
 ) -> DataFrame:
     """Hour rows of the ignition span with the breaks running in each clock hour, in whatever session they fall."""
     scope, (first, last) = Scope(tml_id, eq_type, eq_no), day_range(day)
-    hours = _span_hours_of(clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE))
+    spans = _day_spans(clamp_to_days(ignitions(tables, scope, first), first, last, as_of, LOOSE))
     found = _cut_breaks(tables, scope, first, last, as_of)
-    rows = _running_in_hours(hours, found, found, "in_time", "out_time", [])
+    busy = found.groupBy(*UNIT_DAY).agg(_hours_met("in_time", "out_time")[0])
+    spans = spans.unionByName(busy, allowMissingColumns=True).groupBy(*UNIT_DAY)
+    spans = spans.agg(*[F.max(c).alias(c) for c in ("first_us", "last_us", "gap", "_met")])
+    found = _in_micros(found.withColumns({"work_start": F.col("in_time"), "work_end": F.col("out_time")}))
+    rows = _in_hours(spans, found, "in_time", "out_time", to_last=True)
     copies = F.coalesce(F.col("n_breaks"), F.lit(1))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    rows = rows.withColumnsRenamed({"in_time": "work_start", "out_time": "work_end"})
-    work = _work_in_hour("brk_start_time", "brk_end_time", "brk_time_min", per_hour)
-    bounds = [F.col(c).alias(f"ign_{c}") for c in ("start_time", "end_time")]
-    return rows.select(*KEY_DAY, "hour_seq", "eq_no", *bounds, *work)
+    work = _hour_columns("ign", "brk_start_time", "brk_end_time", "brk_time_min", per_hour)
+    return rows.select(*KEY_DAY, "hour_seq", "eq_no", *work)

@@ -16,6 +16,7 @@ from quaymetrics.operators.seq import numbered
 from quaymetrics.plans import execution as x
 from quaymetrics.plans import oee, productivity
 from quaymetrics.plans import utilization as u
+from quaymetrics.session import prepare
 from quaymetrics.sources.schema import LAYOUT_SESSION, LAYOUT_TIME, PREFIX
 from quaymetrics.sources.tables import Tables, add, load, load_checks, save
 
@@ -208,6 +209,47 @@ def test_only_narrow_calls_are_sorted_as_a_whole(derived):
     assert "rangepartitioning" in plan_of(hours) and got == sorted(got)
 
 
+@pytest.mark.parametrize("report", UNIT_HOURS, ids=_id)
+def test_hour_lists_shuffle_days_and_not_hours(derived, report):
+    """Rows are dealt to hours after the join, so nothing is grouped or shuffled once an hour."""
+    shuffles = [line for line in plan_of(report(derived, ("2024-01-10", "2024-01-13"), AS_OF)).splitlines() if "hashpartitioning" in line]
+    assert shuffles and not any("hour" in line for line in shuffles)
+
+
+@pytest.mark.parametrize("report, start, end", [(u.ignition_hours, "ign_on_time", "ign_off_time"), (u.login_hours, "log_in_time", "log_out_time")])
+def test_hours_without_a_session(make, report, start, end):
+    """No session in the hour, one that ends in an unaligned first hour, a reversed one beyond its day; a unit without a name has no rows."""
+    table = "bi_eq_ignition" if "ign" in start else "bi_eq_login"
+    given = {"E1": [("08:10", "08:40"), ("08:50", "09:30"), ("11:00", "11:20")], "E2": [("23:30", "21:00")], None: [("08:10", "09:30")]}
+    tables = make(
+        **{table: [{"eq_no": e, start: a, end: b} for e, some in given.items() for a, b in some]},
+        bi_job_hist=[{"eq_no": e, "job_cmpl_time": "09:15", "job_fetching_time": "09:05"} for e in given],
+    )
+    hours = report(tables, "2024-01-10", "2024-01-10 18:00:00")
+    got = sorted(rows(hours, "eq_no", "hour_seq", "job_start_time", "job_end_time"), key=str)
+    work = (t("09:05"), t("09:15"))
+    assert got == sorted(
+        [("E1", 1, None, None), ("E1", 2, *work), ("E1", 3, None, None), ("E1", 4, None, None)]
+        + [("E2", n, None, None) for n in (1, 2, 3)], key=str,
+    )
+
+
+def test_tasks_read_parts_of_shuffles_of_bounded_size(spark):
+    """However few parts the session asks for; more of them are kept."""
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for asked, parts in (("4", 200), ("500", 500)):
+            spark.conf.set("spark.sql.shuffle.partitions", asked)
+            prepare(spark)
+            grouped = spark.range(100).groupBy("id").count()
+            assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == parts
+            assert f"hashpartitioning(id#, {parts})" in re.sub(r"#\d+L?", "#", plan_of(grouped))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+        prepare(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
 # plans
 
 
