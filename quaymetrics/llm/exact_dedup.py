@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from quaymetrics.llm.common import ship, stage
 
 #: Bytes of contents, and what a table needs for each of them besides, that a table takes.
-CAPACITY = 48 << 20
+CAPACITY = 24 << 20
 OVERHEAD = 200
+#: Records that are taken out of Arrow's memory at a time.
+TAKEN = 500
 
 
 class ContentTable:
@@ -93,10 +95,12 @@ def merged(a: tuple, b: tuple) -> tuple:
 
 
 def _records(part: pa.RecordBatch) -> Iterator[tuple]:
-    contents = part.column("content").cast(pa.binary()).to_pylist()
-    others = [part.column(c).to_pylist() for c in ("key", "largest", "n_rows", "of_largest")]
-    for key, content, *counts in zip(others[0], contents, *others[1:]):
-        yield key, content, *counts
+    for at in range(0, part.num_rows, TAKEN):
+        some = part.slice(at, TAKEN)
+        contents = some.column("content").cast(pa.binary()).to_pylist()
+        others = [some.column(c).to_pylist() for c in ("key", "largest", "n_rows", "of_largest")]
+        for key, content, *counts in zip(others[0], contents, *others[1:]):
+            yield key, content, *counts
 
 
 def _combining(capacity: int):

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,20 @@ def test_counts_of_the_largest_id():
     assert e.merged((3, 1, 1), (None, 2, 2)) == (3, 3, 1)
     assert e.merged((None, 2, 2), (None, 1, 1)) == (None, 3, 3)
     assert e.merged((4, 1, 1), (3, 2, 2)) == (4, 3, 1)
+
+
+def test_few_records_are_held_as_python_values():
+    """A batch of many rows is taken out of Arrow's memory in slices, in order."""
+    n = 3 * e.TAKEN + 1
+    columns = {"key": range(n), "content": [str(i) for i in range(n)], "largest": range(n), "n_rows": [1] * n, "of_largest": [1] * n}
+    batch = pa.record_batch({name: pa.array(list(values)) for name, values in columns.items()})
+
+    class Watched:
+        num_rows, taken = n, []
+
+        def slice(self, at, length):
+            self.taken.append(length)
+            return batch.slice(at, length)
+
+    assert list(e._records(Watched())) == [(i, str(i).encode(), i, 1, 1) for i in range(n)]
+    assert max(Watched.taken) == e.TAKEN
