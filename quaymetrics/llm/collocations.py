@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaymetrics.llm.common import ship, stage, unstage
+from quaymetrics.llm.common import let_go, ship, stage, unstage
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer candidate around it has so many of 100 of its occurrences.
@@ -208,12 +208,14 @@ def phrase_counts(
             met = met.unionByName(totals.where((F.col("n") >= least) | (F.expr("tag & 255L") + shards > scan)))
         added = met.groupBy("phrase").agg(F.max("tag").alias("tag"), F.sum("n").alias("n"))
         before, totals = totals, stage(added, f"collocation-counts-{scan}")
+        del met, added
         if before is not None:
             unstage(before)
         known.destroy()
         if scan == shards - 1:
             sizes = stage(_parted(totals.where(_size() == 1)).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-sizes")
         _began(totals, least, tables, scan)
+        let_go(docs.sparkSession)
         scan += 1
     unstage(dealt)
     return _parted(totals.where(F.col("n") >= least)), sizes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import tempfile
@@ -46,6 +47,12 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of jobs that are done deleted: Spark does so once their tables are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII, where bytes equal characters, takes the quick way."""
     plain = F.octet_length(text) == F.length(text)

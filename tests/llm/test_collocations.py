@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -117,3 +118,22 @@ def test_products_beyond_64_bits_stay_exact(spark):
 def test_no_documents_no_phrases(spark):
     assert c.collocations(docs_of(spark, cases()).limit(0)).collect() == []
     assert c.collocations(docs_of(spark, [(1, ("en", None))])).collect() == []
+
+
+def test_shuffle_files_of_a_scan_are_let_go(spark):
+    """Scans stage what they count, so their shuffles need not stay on disk together."""
+
+    def shuffles() -> set[int]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {int(n.split("_")[1]) for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = max(shuffles(), default=-1)
+    docs = spark.createDataFrame([(i, "a b c d e f. a b c d", "en") for i in range(40)], "doc_id long, text string, lang string")
+    counts, sizes = c.phrase_counts(docs, least=5, longest=4, shards=2, slot_bits=8)
+    for _ in range(50):
+        left = {s for s in shuffles() if s > before}
+        if len(left) <= 2:  # those of the last scan may still be known
+            break
+        time.sleep(0.1)
+    assert len(left) <= 2 and counts.count() > 0 and sizes.count() == 1
